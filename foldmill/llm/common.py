@@ -23,15 +23,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are tokenised at a time; a longer document is handled alone.
 CHUNK_BYTES = 1 << 21
-#: Rows of an Arrow batch: the longest documents then still fit in a worker's memory.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: long documents then still fit in a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 24
+#: Spark then deletes a query's shuffle files as soon as its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _powers: list[np.ndarray] = []
 
 
-def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session's Python operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,10 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and its rows outlive the executors."""
-    path = f"{shared_dir(df.sparkSession)}/foldmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: cuts the lineage, and its rows outlive the executors.
+
+    The shuffle files behind it are of no more use and go at once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foldmill/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
