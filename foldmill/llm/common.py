@@ -84,7 +84,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, from one prefix sum over the bytes."""
+    """A 64-bit hash of data[start:end] for each span, from one prefix sum over the bytes.
+
+    Spans in order of their starts over long data are hashed part by part, in bounded memory.
+    """
+    if len(data) > 2 * CHUNK_BYTES and len(start) > 1:
+        cut = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), CHUNK_BYTES)), len(start)))
+        out = np.empty(len(start), U64)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            lo, hi = start[a], end[a:b].max()
+            out[a:b] = span_hashes(data[lo:hi], start[a:b] - lo, end[a:b] - lo) if hi - lo <= 2 * CHUNK_BYTES else [span_hashes(data[x:y], np.zeros(1, np.int64), np.array([y - x]))[0] for x, y in zip(start[a:b], end[a:b], strict=True)]
+        return out
     up, down = powers(len(data))
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=prefix[1:])

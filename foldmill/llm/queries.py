@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmill.llm import decontam, langid, mixing, quality, simhash, sql, toxicity
+from foldmill.llm import decontam, langid, lines, mixing, quality, simhash, sql, substring, toxicity
 from foldmill.llm.learning import crc_fold
 
 
@@ -34,6 +34,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,13 +49,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, model)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", "class_id", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language, op7_source_mixing, op8_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language, op6_substrings, op7_source_mixing, op8_quality, op9_lines, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foldmill.llm.common import U64, batches, mix, of_rows, pieces, shuffle_partitions, table, written
 from foldmill.llm.components import components, local_roots
@@ -37,9 +38,9 @@ CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprints(batch: pa.RecordBatch, shingle: int = 4) -> np.ndarray:
+def fingerprints(batch: pa.RecordBatch, shingle: int = 4, column: str = "text") -> np.ndarray:
     """The SimHash of each text: XXH64 (seed 42) of its word shingles; a bit is 1 if set in over half of them."""
-    w = of_rows(batch, lower=True)
+    w = of_rows(batch, column, lower=True)
     n = batch.num_rows
     text, start, end = w.joined()
     size = np.minimum(shingle, w.count)
@@ -193,3 +194,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     linked = written(linked)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(linked.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """docs, with all their columns, with one row of each component: the least doc_id, null last; of equal ids any one.
+
+    A component of a single row keeps it, whatever its id; repeated rows are one component.
+    """
+    schema, at = docs.schema, docs.columns.index("text")
+    batches(docs.sparkSession)
+    if {"__fp", "__row"} & set(docs.columns):
+        raise ValueError("docs has columns of reserved names")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for part in pieces(batch):
+                yield part.append_column("__fp", pa.array(fingerprints(part, shingle, part.schema.names[at]).view(np.int64)))
+
+    rows = docs.mapInArrow(run, StructType([*schema.fields, StructField("__fp", LongType())]))
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()))
+    least = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
+    linked = least.join(written(fingerprint_classes(least, most)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = written(linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").select(*schema.names)

@@ -223,3 +223,20 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield table({"doc_id": part.column(0), "score": p, "windows": found[:, 8].astype(np.int64), "toxic_windows": found[:, 7].astype(np.int64)}, SCORES)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, windows long, toxic_windows long")
+
+
+def remove_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, with all their columns, without the rows whose score reaches the threshold; all of them where there is no model."""
+    if model is None:
+        return docs
+    batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = model.dictionaries.compressors()
+        for batch in parts:
+            for part in pieces(batch):
+                p, _ = model.scores(Words(*text_bytes(part.column(at)), lower=True), made)
+                yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
