@@ -26,7 +26,7 @@ BLOCK_BYTES = 1 << 21
 NO_ID = np.iinfo(np.int64).max
 MESSAGE = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 MESSAGE_DDL = "key long, block long, body binary"
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("rest", pa.binary()), ("sketch", pa.binary())])
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("rest", pa.binary()), ("index", pa.binary()), ("sketch", pa.binary())])
 
 
 def squeeze(raw: bytes, level: int = 1) -> bytes:
@@ -37,27 +37,29 @@ def unsqueeze(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def pack_arrays(*arrays: np.ndarray, squeezed: bool = True) -> bytes:
-    """Arrays as one body; their types are for the reader to know."""
-    body = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
-    return squeeze(body) if squeezed else body
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one body; their types are for the reader to know. Bytes of one rank stand together, which compresses."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays]
+    return squeeze(np.array([a.nbytes for a in arrays], np.int64).tobytes() + b"".join(planes))
 
 
-def unpack_arrays(body: bytes, *kinds: type, squeezed: bool = True) -> list[np.ndarray]:
-    raw = unsqueeze(body) if squeezed else body
-    at, out = 8 * (len(kinds) + 1), []
-    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds), 8).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+def unpack_arrays(body: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = unsqueeze(body)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n, at).reshape(width, n // width)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += n
     return out
 
 
-def blocks_of(docs: DataFrame, sketch: Callable[..., None] | None = None, size: int = 0, rest: list[str] | None = None) -> DataFrame:
+def blocks_of(docs: DataFrame, index: Callable[[np.ndarray, Words], bytes] | None = None, size: int = 0, rest: list[str] | None = None) -> DataFrame:
     """The table of blocks of (doc_id, text), written to the shared folder; nulls are empty texts.
 
-    With ``sketch``, which adds a block's bytes and offsets to an array of ``size``
-    counts, each task's counts follow as a row without a block. Columns named in
-    ``rest`` are kept beside the texts, for ``told`` to hand on.
+    ``index`` makes a body of a block's words, in lower-case ASCII letters, to be
+    kept beside it, and may add to an array of ``size`` counts; each task's counts
+    follow as a row without a block. Columns named in ``rest`` are kept for ``told`` to hand on.
     """
     spark = docs.sparkSession
     batches(spark)
@@ -70,9 +72,8 @@ def blocks_of(docs: DataFrame, sketch: Callable[..., None] | None = None, size:
         def flush() -> pa.RecordBatch:
             data = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
-            if sketch:
-                sketch(counts, data, np.concatenate([[0], np.cumsum(sizes)]))
-            row = secrets.randbits(62), np.concatenate([h[0] for h in held]).tobytes(), sizes.tobytes(), squeeze(data.tobytes()), table_bytes([h[3] for h in held]) if rest else None, None
+            made = index(counts, Words(data, np.concatenate([[0], np.cumsum(sizes)]), lower=True)) if index else None
+            row = secrets.randbits(62), np.concatenate([h[0] for h in held]).tobytes(), sizes.tobytes(), squeeze(data.tobytes()), table_bytes([h[3] for h in held]) if rest else None, made, None
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
         for batch in parts:
@@ -90,11 +91,11 @@ def blocks_of(docs: DataFrame, sketch: Callable[..., None] | None = None, size:
                 at = to
         if held:
             yield flush()
-        if sketch and counts.any():
-            row = None, None, None, None, None, squeeze(counts.tobytes())
+        if counts.any():
+            row = None, None, None, None, None, None, squeeze(counts.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text", *(c for c in rest or [] if c not in ("doc_id", "text"))).mapInArrow(run, "block long, ids binary, sizes binary, data binary, rest binary, sketch binary"))
+    return written(docs.select(F.col("doc_id").cast("long"), "text", *(c for c in rest or [] if c not in ("doc_id", "text"))).mapInArrow(run, "block long, ids binary, sizes binary, data binary, rest binary, index binary, sketch binary"))
 
 
 def table_bytes(parts: list[pa.RecordBatch]) -> bytes:
@@ -148,17 +149,50 @@ def answer(messages: DataFrame, run: Callable[[list[int], list[bytes]], list[tup
     return messages.repartition(partitions, "key").groupBy("key").applyInArrow(group, "block long, body binary")
 
 
-def told(blocks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], ddl: str, lower: bool = False, rest: Callable[[pa.Table, pa.Table], pa.Table] | None = None) -> DataFrame:
-    """What ``run`` makes of each block and the answers to it; ``rest`` joins its rows to the block's other columns."""
+def told(blocks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], ddl: str, columns: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
+    """What ``run`` makes of each block and the answers to it.
+
+    It gets (block, ids, words, answers); with ``columns``, their values instead of ids and words.
+    """
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_pylist()[0]
-        out = run(row["block"], *opened(row["ids"], row["sizes"], row["data"], lower), right.column("body").to_pylist())
-        return rest(pa.ipc.open_stream(row["rest"]).read_all(), out) if rest else out
+        bodies = right.column("body").to_pylist()
+        if columns:
+            return run(row["block"], *(row[c] for c in columns), bodies)
+        return run(row["block"], *opened(row["ids"], row["sizes"], row["data"], lower), bodies)
 
-    left = blocks.select("block", "ids", "sizes", "data", *(["rest"] if rest else []))
+    left = blocks.select("block", *(columns or ("ids", "sizes", "data")))
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(group, ddl)
 
 
+def rows_of(messages: DataFrame, names: dict[str, type]) -> DataFrame:
+    """Messages of packed integers as rows of longs, with their block."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = unpack_arrays(body, *names.values())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), block)), *(pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64)) for x in got)], names=["block", *names])
+
+    return messages.select("block", "body").mapInArrow(run, "block long, " + ", ".join(f"{n} long" for n in names))
+
+
+def bodies_for_blocks(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of longs with a block, as one body for each block; a block's rows are bounded by its text."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        body = pack_arrays(*(table.column(n).to_numpy().astype(np.int64) for n in names))
+        return pa.Table.from_arrays([table.column("block").slice(0, 1), pa.array([body], pa.binary())], names=["block", "body"])
+
+    return rows.select("block", *names).groupBy("block").applyInArrow(pack, "block long, body binary")
+
+
+def joined_bodies(bodies: list[bytes], *kinds: type) -> list[np.ndarray]:
+    """The arrays of all bodies, one behind the other."""
+    got = [unpack_arrays(b, *kinds) for b in bodies]
+    return [np.concatenate([g[k] for g in got] + [np.empty(0, kind)]) for k, kind in enumerate(kinds)]
+
+
 def spread(key: np.ndarray, shards: int) -> np.ndarray:
     return (key % U64(shards)).astype(np.int64)
