@@ -7,12 +7,14 @@ column, many documents at a time, so that no step loops over words in Python.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -62,6 +64,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Sent:
+    """A value sent to all tasks, by value with its classes, so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.made: list[object] = []
+
+    @property
+    def value(self):
+        if not self.made:
+            self.made.append(pickle.loads(self.held.value))
+        return self.made[0]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

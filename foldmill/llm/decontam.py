@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import BASE, U64, Words, batches, mix, pieces, table, text_bytes
+from foldmill.llm.common import Sent, BASE, U64, Words, batches, mix, pieces, table, text_bytes
 
 #: Token positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 7), (0, 1, 3, 5, 7), (0, 3, 4, 6, 7), (0, 2, 3, 6, 7))
@@ -170,7 +170,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
     kind = "doc_id long, item_id long, doc_token long, item_token long, n_tokens long, n_equal long"
     out = spark.createDataFrame([], kind)
     for seeds in blocks_of(benchmark, block_tokens):
-        held = spark.sparkContext.broadcast(seeds)
+        held = Sent(spark, seeds)
 
         def run(parts: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in parts:
@@ -190,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
     batches(spark)
     out, at = docs, docs.columns.index("text")
     for seeds in blocks_of(benchmark, block_tokens):
-        held = spark.sparkContext.broadcast(seeds)
+        held = Sent(spark, seeds)
 
         def run(parts: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in parts:

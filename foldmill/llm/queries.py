@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmill.llm import decontam, langid, lines, mixing, quality, simhash, sql, substring, toxicity
+import corpus_pipeline
+from foldmill.llm import chat, decontam, langid, lines, mixing, quality, secret_scan, simhash, sql, substring, toxicity
 from foldmill.llm.learning import crc_fold
 
 
@@ -27,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_turns(read(spark, sf_dir, "conversations"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(crc_fold("doc_id", 4) != 2))
@@ -34,6 +39,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), secret_scan.trained())
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,8 +70,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language, op6_substrings, op7_source_mixing, op8_quality, op9_lines, op10_simhash)}
+    operators = (op1_toxicity, op2_decontamination, op3_chat, op4_language, op5_secrets, op6_substrings, op7_source_mixing, op8_quality, op9_lines, op10_simhash)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": sql.OP7}
+    return {"op3_chat": sql.OP3, "op6_substrings": sql.OP6, "op7_source_mixing": sql.OP7, "op9_lines": sql.OP9} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
