@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import U64, Words, batches, shuffle_partitions, text_bytes, written
+from foldmill.llm.common import U64, Words, batches, shuffle_partitions, text_bytes, tidy, written
 
 #: Bytes of text of a block; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -121,9 +121,11 @@ def ask(blocks: DataFrame, tell: Callable[[np.ndarray, Words], Iterator[tuple[np
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 out = list(tell(*opened(row["ids"], row["sizes"], row["data"], lower)))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], schema=MESSAGE)
+                tidy()
 
     return blocks.select("block", "ids", "sizes", "data").mapInArrow(run, MESSAGE_DDL)
 
@@ -137,16 +139,20 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(shard[part[0]]), part
 
 
-def answer(messages: DataFrame, run: Callable[[list[int], list[bytes]], list[tuple[int, bytes]]], partitions: int) -> DataFrame:
-    """What ``run`` makes of all messages of a shard: (blocks, bodies) to (block, body)."""
+def answer(messages: DataFrame, run: Callable[[list[int], list[bytes]], object], partitions: int, names: tuple[str, ...] = ()) -> DataFrame:
+    """What ``run`` makes of all messages of a shard: (blocks, bodies) to (block, body); with ``names``, to arrays of longs of these names."""
 
     def group(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("block").to_numpy(), kind="stable").tolist()
         block, body = rows.column("block").to_pylist(), rows.column("body").to_pylist()
         out = run([block[i] for i in order], [body[i] for i in order])
+        tidy()
+        if names:
+            return pa.Table.from_arrays([pa.array(x.view(np.int64)) for x in out], names=list(names))
         return pa.Table.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "body"])
 
-    return messages.repartition(partitions, "key").groupBy("key").applyInArrow(group, "block long, body binary")
+    ddl = ", ".join(f"{n} long" for n in names) if names else "block long, body binary"
+    return messages.repartition(partitions, "key").groupBy("key").applyInArrow(group, ddl)
 
 
 def told(blocks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], ddl: str, columns: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
@@ -158,6 +164,7 @@ def told(blocks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], dd
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_pylist()[0]
         bodies = right.column("body").to_pylist()
+        tidy()
         if columns:
             return run(row["block"], *(row[c] for c in columns), bodies)
         return run(row["block"], *opened(row["ids"], row["sizes"], row["data"], lower), bodies)
@@ -166,18 +173,6 @@ def told(blocks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], dd
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(group, ddl)
 
 
-def rows_of(messages: DataFrame, names: dict[str, type]) -> DataFrame:
-    """Messages of packed integers as rows of longs, with their block."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = unpack_arrays(body, *names.values())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), block)), *(pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64)) for x in got)], names=["block", *names])
-
-    return messages.select("block", "body").mapInArrow(run, "block long, " + ", ".join(f"{n} long" for n in names))
-
-
 def bodies_for_blocks(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows of longs with a block, as one body for each block; a block's rows are bounded by its text."""
 

@@ -7,10 +7,11 @@ column, many documents at a time, so that no step loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,17 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes of text that are tokenised at a time; a longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are tokenised at a time (a longer document is handled alone), and that one prefix sum covers.
+CHUNK_BYTES, HASH_BYTES = 1 << 21, 1 << 18
 #: Rows and bytes of an Arrow batch: long documents then still fit in a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 500, 1 << 24
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 22
 #: Spark then deletes a query's shuffle files as soon as its result is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _powers: list[np.ndarray] = []
+_libc: list[Callable] = []
+_calls = [0]
+TIDY = 12
 
 
 def batches(spark: SparkSession) -> None:
@@ -64,6 +68,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Hand memory that this worker has freed back to the machine, every now and then."""
+    _calls[0] += 1
+    if _calls[0] % TIDY:
+        return
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):
+            _libc.append(lambda _: 0)
+    _libc[0](0)
+
+
 class Sent:
     """A value sent to all tasks, by value with its classes, so that executors need no copy of this package."""
 
@@ -85,7 +103,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to n, modulo 2**64."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
+        size = max(n + 1, 4 * HASH_BYTES + 1)
         _powers[:] = [np.concatenate([np.ones(1, U64), np.cumprod(np.full(size, b, U64))]) for b in (BASE, BASE_INV)]
     return _powers[0], _powers[1]
 
@@ -102,15 +120,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, from one prefix sum over the bytes.
 
-    Spans in order of their starts over long data are hashed part by part, in bounded memory.
+    Spans in order of their starts over long data are hashed part by part, in little memory.
     """
-    if len(data) > 2 * CHUNK_BYTES and len(start) > 1:
-        cut = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), CHUNK_BYTES)), len(start)))
+    if len(data) > 2 * HASH_BYTES and len(start) > 1:
+        cut = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), HASH_BYTES)), len(start)))
         out = np.empty(len(start), U64)
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             lo, hi = start[a], end[a:b].max()
-            out[a:b] = span_hashes(data[lo:hi], start[a:b] - lo, end[a:b] - lo) if hi - lo <= 2 * CHUNK_BYTES else [span_hashes(data[x:y], np.zeros(1, np.int64), np.array([y - x]))[0] for x, y in zip(start[a:b], end[a:b], strict=True)]
+            if hi - lo <= 4 * HASH_BYTES:
+                out[a:b] = one_prefix(data[lo:hi], start[a:b] - lo, end[a:b] - lo)
+            else:
+                out[a:b] = [one_prefix(data[x:y], np.zeros(1, np.int64), np.array([y - x]))[0] for x, y in zip(start[a:b], end[a:b], strict=True)]
         return out
+    return one_prefix(data, start, end)
+
+
+def one_prefix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = powers(len(data))
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=prefix[1:])
@@ -167,9 +192,12 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(off) - 1), self.count)
+        self.hashed: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end)
+        if self.hashed is None:
+            self.hashed = span_hashes(self.data, self.start, self.end)
+        return self.hashed
 
     def starts_of(self, n: int) -> np.ndarray:
         """Whether n words of the same row begin at each word."""
