@@ -1,9 +1,400 @@
 """The queries of the engine's own operators over the driver's tables, with their SQL for DuckDB."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from foldmill.functions import hashing, scalars, sequences, tokens
+from foldmill.operators import apps, sinks
+from foldmill.operators.crossing import cross_queries
+from foldmill.plans.job import Job
+from foldmill.plans.spec import PythonAgg
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+#: Literal query words of the crossing queries.
+QUERY_WORDS = ("the", "der", "que")
+PARTITIONS = 16
+IMAGE_SIDE = 32
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register the function as a query of its name, with its SQL where there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sql_class(delimiters: str) -> str:
+    return tokens.char_class(delimiters).replace("'", "''")
+
+
+def sql_tokens(text: str, delimiters: str = tokens.WORDS) -> str:
+    return f"list_filter(string_split_regex({text}, '{sql_class(delimiters)}'), lambda x: x <> '')"
+
+
+def sql_bytes(key: str) -> str:
+    """The UTF-8 bytes of a key as numbers."""
+    return f"list_transform(range(1, strlen({key}) + 1), lambda i: ('0x' || substr(hex(encode({key})), 2 * i - 1, 2))::bigint)"
+
+
+SQL_WORDS = f"select unnest({sql_tokens('text')}) as key from documents"
+SQL_COUNTS = f"select key, count(*)::bigint as n from ({SQL_WORDS}) group by key"
+
+
+def counted(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Job(name, table(spark, sf_dir, "documents")).run(spark)
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted("word_count")(spark, sf_dir)
+
+
+@query(SQL_COUNTS)
+def word_count(spark, sf_dir):
+    return word_counts(spark, sf_dir)
+
+
+@query(f"select key, count(*)::bigint as n from (select unnest({sql_tokens('text', tokens.LINES)}) as key from documents) group by key")
+def line_count(spark, sf_dir):
+    return counted("line_count")(spark, sf_dir)
+
+
+@query(
+    f"""select key, count(*)::bigint as n from (
+    select unnest(list_filter(list_transform({sql_tokens("text", tokens.LINES)}, lambda r: ({sql_tokens("r")})[1]), lambda k: k is not null)) as key from documents) group by key"""
+)
+def field_count(spark, sf_dir):
+    return counted("field_count")(spark, sf_dir)
+
+
+@query(
+    f"""with t as (select {sql_tokens("text")} as t from documents)
+    select key, count(*)::bigint as n from (select unnest(list_transform(range(1, len(t)), lambda i: t[i] || '-' || t[i + 1])) as key from t) group by key"""
+)
+def bigram_count(spark, sf_dir):
+    return counted("bigram_count")(spark, sf_dir)
+
+
+@query(
+    f"""with t as (select {sql_tokens("text")} as t from documents)
+    select key, count(*)::bigint as n from (select unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || '-' || t[i + 1] || '-' || t[i + 2])) as key from t) group by key"""
+)
+def trigram_count(spark, sf_dir):
+    return counted("trigram_count")(spark, sf_dir)
+
+
+@query(
+    f"""select key, array_to_string(list_sort(list(distinct source)), ' ') as books from (
+    select source, unnest({sql_tokens("text")}) as key from documents) where source is not null group by key"""
+)
+def inverted_index(spark, sf_dir):
+    found = counted("inverted_index")(spark, sf_dir)
+    return found.where(F.size("books") > 0).select("key", F.array_join("books", " ").alias("books"))
+
+
+@query(
+    f"""select query, source, count(*)::bigint as records, sum((key = query)::int)::bigint as hits from
+    (select source, unnest({sql_tokens("text")}) as key from documents) cross join (select unnest({list(QUERY_WORDS)}) as query) group by query, source"""
+)
+def query_word_cross(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("source", F.explode(tokens.tokens(F.col("text"))).alias("key"))
+    asked = spark.createDataFrame([(w,) for w in QUERY_WORDS], "query string")
+    crossed = cross_queries(words.groupBy("source", "key").agg(F.count("*").alias("n")), asked)
+    hits = F.sum(F.when(F.col("key") == F.col("query"), F.col("n")).otherwise(0))
+    return crossed.groupBy("query", "source").agg(F.sum("n").alias("records"), hits.alias("hits"))
+
+
+@query("select doc_id, item_id, abs(length(d.text) - length(b.text))::bigint as difference, contains(d.text, b.text) as contained from documents d cross join benchmark b")
+def query_file_cross(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("contents"))
+    crossed = cross_queries(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    difference = F.abs(F.length("text") - F.length("contents")).cast("long")
+    return crossed.select("doc_id", "item_id", difference.alias("difference"), F.contains("text", "contents").alias("contained"))
+
+
+def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's distinct suppliers as its links; both are numbers, so suppliers are nodes too."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"), F.col("l_suppkey").cast("string").alias("link"))
+    return rows.where("key is not null and link is not null").groupBy("key").agg(F.array_sort(F.collect_set("link")).alias("links"))
+
+
+SQL_LINKS = "select distinct l_partkey::varchar as key, l_suppkey::varchar as link from lineitem where l_partkey is not null and l_suppkey is not null"
+
+
+def sql_ranks(rounds: int, damping: float | None = None) -> str:
+    out = f"with links as ({SQL_LINKS}), nodes as (select key, count(*) as degree from links group by key), r0 as (select key, 1.0::double as rank from nodes)"
+    for k in range(rounds):
+        step = f"select l.link as key, sum(r.rank / n.degree) as rank from r{k} r join nodes n on r.key = n.key join links l on l.key = r.key group by l.link"
+        if damping is not None:
+            step = f"select n.key, {1 - damping}::double + {damping}::double * coalesce(s.rank, 0) as rank from nodes n left join ({step}) s on n.key = s.key"
+        out += f", r{k + 1} as ({step})"
+    return out + f" select key, round(rank, 6) as rank from r{rounds}"
+
+
+@query(sql_ranks(1))
+def rank_step(spark, sf_dir):
+    nodes = part_links(spark, sf_dir).withColumn("rank", F.lit(1.0))
+    return Job("rank", nodes, strategy="iterative").run(spark).select("key", F.round("rank", 6).alias("rank"))
+
+
+@query(sql_ranks(3))
+def rank_iter3(spark, sf_dir):
+    return apps.ranks(part_links(spark, sf_dir), 3).select("key", F.round("rank", 6).alias("rank"))
+
+
+@query(sql_ranks(3, 0.85))
+def rank_damped(spark, sf_dir):
+    return apps.ranks(part_links(spark, sf_dir), 3, 0.85).select("key", F.round("rank", 6).alias("rank"))
+
+
+@query(
+    """with m as (select vec_id, embedding::double[] as e, list_aggregate(embedding::double[], 'median') as mid from embeddings)
+    select vec_id, array_to_string(list_transform(e, lambda x: case when x > mid then '1' else '0' end), '') as bits from m"""
+)
+def threshold_hash(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", sequences.threshold_bits(F.col("embedding")).alias("bits"))
+
+
+def sql_buckets(whole: bool) -> str:
+    turned = "substr(h, 1 + (i * (length(h) // 4)) % length(h)) || substr(h, 1, (i * (length(h) // 4)) % length(h))"
+    key = turned if whole else f"substr({turned}, 1, length(h) // 2)"
+    return f"""select key, array_to_string(list_sort(list(name)), ' ') as names from (
+    select {key} as key, name from (select substr(md5(text), 1, 8) as h, doc_id::varchar as name from documents where text is not null), range(1, 5) as r(i)) group by key"""
+
+
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.substring(F.md5("text"), 1, 8).alias("digest"), F.col("doc_id").alias("name"))
+
+
+@query(sql_buckets(False))
+def similarity_buckets(spark, sf_dir):
+    return Job("similarity_buckets", digests(spark, sf_dir)).run(spark).select("key", F.array_join("names", " ").alias("names"))
+
+
+@query(sql_buckets(True))
+def similarity_buckets_full(spark, sf_dir):
+    return Job("similarity_buckets_full", digests(spark, sf_dir)).run(spark).select("key", F.array_join("names", " ").alias("names"))
+
+
+def sql_nearest(k: int) -> str:
+    return f"""with v as (select vec_id, ('0x' || substr(md5(vec_id::varchar), 1, 15))::bigint as h from embeddings),
+    p as (select q.vec_id as query, v.vec_id as key, abs(q.h - v.h) as distance from v join v q on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id),
+    o as (select *, row_number() over (partition by query order by distance, key) as place from p)
+    select query, key, distance::bigint as distance, place::int as place from o where place <= {k}"""
+
+
+def hashed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with each query vector (ids divisible by 50) and the distance of their hashes."""
+    h = scalars.unsigned(F.concat(F.lit("0x"), F.substring(F.md5(F.col("vec_id").cast("string")), 1, 15))).cast("long")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), h.alias("h"))
+    asked = v.where(F.col("key") % 50 == 0).select(F.col("key").alias("query"), F.col("h").alias("g"))
+    return cross_queries(v, asked).where("key <> query").select("query", "key", scalars.distance(F.col("h"), F.col("g")).alias("distance"))
+
+
+@query(sql_nearest(1))
+def nearest_1(spark, sf_dir):
+    return apps.nearest(hashed_pairs(spark, sf_dir), 1)
+
+
+@query(sql_nearest(5))
+def nearest_5(spark, sf_dir):
+    return apps.nearest(hashed_pairs(spark, sf_dir), 5)
+
+
+SQL_BYTE_SUM = f"coalesce(list_sum(list_transform({sql_bytes('key')}, lambda b: (b + 128) % 256 - 128)), 0)"
+
+
+@query(f"select ((({SQL_BYTE_SUM}) % {PARTITIONS} + {PARTITIONS}) % {PARTITIONS})::int as pid, count(*)::bigint as keys, sum(n)::bigint as n from ({SQL_COUNTS}) group by 1")
+def partition_histogram(spark, sf_dir):
+    parts = sinks.with_partition(word_counts(spark, sf_dir), PARTITIONS)
+    return parts.groupBy("pid").agg(F.count("*").alias("keys"), F.sum("n").alias("n"))
+
+
+@query(f"select key, list_reduce({sql_bytes('key')}, lambda h, b: xor((h * 16777619) & 4294967295, b), 2166136261::bigint) as h from ({SQL_COUNTS})")
+def fnv1_32(spark, sf_dir):
+    return word_counts(spark, sf_dir).select("key", hashing.fnv1(F.col("key")).alias("h"))
+
+
+@query("select doc_id, md5(text) as m, sha1(text) as s from documents")
+def md5_sha1(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(hashing.md5_raw(F.col("text")))).alias("m"), F.lower(F.hex(hashing.sha1_raw(F.col("text")))).alias("s"))
+
+
+@query()
+def bob32(spark, sf_dir):
+    return word_counts(spark, sf_dir).select("key", hashing.lookup3(F.col("key")).alias("h"))
+
+
+@query()
+def murmur2_32(spark, sf_dir):
+    return word_counts(spark, sf_dir).select("key", hashing.murmur2(F.col("key")).alias("h"))
+
+
+@query()
+def superfast32(spark, sf_dir):
+    return word_counts(spark, sf_dir).select("key", hashing.superfast(F.col("key")).alias("h"))
+
+
+def sql_steps(name: str, steps: list[str]) -> str:
+    """Nested selects that apply each step to a, modulo 2**32."""
+    out = "select o_orderkey, o_orderkey::bigint & 4294967295 as a from orders"
+    for s in steps:
+        out = f"select o_orderkey, ({s}) & 4294967295 as a from ({out})"
+    return f"select o_orderkey, a as {name} from ({out})"
+
+
+SQL_AVALANCHE = {
+    "h1": ["a + 2127912214 + (a << 12)", "xor(xor(a, 3345072700), a >> 19)", "a + 374761393 + (a << 5)", "xor((a + 3550635116) & 4294967295, a << 9)", "a + 4251993797 + (a << 3)", "xor(xor(a, 3042594569), a >> 16)"],
+    "h2": ["a - ((a << 6) & 4294967295) + 4294967296", "xor(a, a >> 17)", "a - ((a << 9) & 4294967295) + 4294967296", "xor(a, (a << 4) & 4294967295)", "a - ((a << 3) & 4294967295) + 4294967296", "xor(a, (a << 10) & 4294967295)", "xor(a, a >> 15)"],
+    "h3": ["a + 1201320989 + (a << 8)", "xor(xor(a, 3836350670), a >> 5)", "((a + 2571301030) & 4294967295) - ((a << 14) & 4294967295) + 4294967296", "xor(xor(a, 1525536381), a >> 3)", "a + 398371218 + (a << 7)"],
+}
+
+
+@query("select x.o_orderkey, h1, h2, h3 from " + " join ".join(f"({sql_steps(n, s)}) {t}" + (f" on x.o_orderkey = {t}.o_orderkey" if t != "x" else "") for t, (n, s) in zip("xyz", SQL_AVALANCHE.items(), strict=True)))
+def avalanche_ints(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k, hashing.avalanche_1(k).alias("h1"), hashing.avalanche_2(k).alias("h2"), hashing.avalanche_half(k).alias("h3"))
+
+
+@query(
+    f"""select key, case when strlen(key) >= 5 then list_reduce(list_transform({sql_bytes("key")}[strlen(key) - 4:strlen(key) - 1], lambda b: (b + 128) % 256 - 128), lambda h, b: (h * 256 + b) & 4294967295, 0::bigint) else 0 end as h
+    from ({SQL_COUNTS})"""
+)
+def null_hash(spark, sf_dir):
+    return word_counts(spark, sf_dir).select("key", hashing.null_hash(F.col("key"), 1).alias("h"))
+
+
+@query("select doc_id, ('0x' || substr(md5(text), 1, 16))::uhugeint::decimal(20,0) as h from documents")
+def unsigned_parse(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.unsigned(F.concat(F.lit("0x"), F.substring(F.md5("text"), 1, 16))).alias("h"))
+
+
+SQL_RUNS = """with s as (select *, (lag(event_type) over w is distinct from event_type or row_number() over w = 1)::int as starts from events window w as (partition by user_id order by ts, event_id)),
+    r as (select *, sum(starts) over (partition by user_id order by ts, event_id) - 1 as run from s)
+    select user_id, run::bigint as run, event_type, count(*)::bigint as length from r group by user_id, run, event_type"""
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.run_lengths(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query(SQL_RUNS)
+def rle_runs(spark, sf_dir):
+    return event_runs(spark, sf_dir)
+
+
+@query("select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as place, event_type from events")
+def rle_roundtrip(spark, sf_dir):
+    return sequences.expand_runs(event_runs(spark, sf_dir), ["user_id"], "event_type")
+
+
+@query(
+    """with d as (select user_id, event_id, event_id - coalesce(lag(event_id) over (partition by user_id order by event_id), 0) as delta from events)
+    select user_id, event_id, delta, length(bin(delta))::bigint as bits from d"""
+)
+def delta_encode(spark, sf_dir):
+    coded = sequences.deltas(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "event_id")
+    return coded.withColumn("bits", sequences.bit_width(F.col("delta")).cast("long"))
+
+
+@query("select user_id, event_id, event_id as value from events")
+def delta_roundtrip(spark, sf_dir):
+    coded = sequences.deltas(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "event_id")
+    return sequences.undeltas(coded, ["user_id"], ["event_id"]).drop("delta")
+
+
+@query()
+def perceptual_bits(spark, sf_dir):
+    wide = F.flatten(F.array_repeat("embedding", IMAGE_SIDE * IMAGE_SIDE // 64))
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", sequences.perceptual_hash(wide, IMAGE_SIDE).alias("h"))
+
+
+@query(f"select array_to_string({sql_tokens('text', tokens.BLANKS)}, '|') as fields, doc_id from documents where len({sql_tokens('text', tokens.BLANKS)}) > 0")
+def blank_fields(spark, sf_dir):
+    cut = table(spark, sf_dir, "documents").select(tokens.tokens(F.col("text"), tokens.BLANKS).alias("fields"), "doc_id")
+    return cut.where(F.size("fields") > 0).withColumn("fields", F.array_join("fields", "|"))
+
+
+@query(f"select key || chr(9) || n as value from ({SQL_COUNTS})")
+def text_result(spark, sf_dir):
+    return sinks.text_rows(word_counts(spark, sf_dir).select("key", "n"), "\t")
+
+
+@query(f"""select lower(hex(encode(lpad(hex(strlen(j)), 8, '0') || j))) as row from (select '{{"key":' || to_json(key) || ',"n":' || n || '}}' as j from ({SQL_COUNTS}))""")
+def prefixed_result(spark, sf_dir):
+    rows = sinks.length_prefixed(word_counts(spark, sf_dir).select("key", "n"))
+    # the length's own bytes are shown as hexadecimal digits, as SQL text has no zero bytes
+    shown = F.concat(F.hex(F.encode(F.hex(F.substring("value", 1, 4)), "UTF-8")), F.hex(F.expr("substring(value, 5, length(value))")))
+    return rows.select(F.lower(shown).alias("row"))
+
+
+@query(f"select key, count(*)::bigint as n from (select unnest({sql_tokens('text')}) as key from (select text from documents union all select text from benchmark)) group by key")
+def union_count(spark, sf_dir):
+    both = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+    return Job("word_count", both).run(spark)
+
+
+@query(f"select row_number() over (partition by (({SQL_BYTE_SUM}) % {PARTITIONS} + {PARTITIONS}) % {PARTITIONS} order by key) as place, key, n from ({SQL_COUNTS})")
+def sorted_partitions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    parts = sinks.with_partition(word_counts(spark, sf_dir), PARTITIONS)
+    return parts.select(F.row_number().over(Window.partitionBy("pid").orderBy("key")).cast("long").alias("place"), "key", "n")
+
+
+def _created(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"key": rows["event_type"], "n": 1, "total": rows["value"].fillna(0.0), "high": rows["value"]})
+
+
+def _merged(partials: pd.DataFrame) -> pd.DataFrame:
+    return partials.groupby("key", as_index=False, sort=False).agg(n=("n", "sum"), total=("total", "sum"), high=("high", "max"))
+
+
+EVENT_TOTALS = PythonAgg(create=_created, merge=_merged, schema="key string, n long, total double, high double")
+
+
+@query("select event_type as key, count(*)::bigint as n, round(sum(coalesce(value, 0)), 4) as total, max(value) as high from events where event_type is not null group by event_type")
+def custom_agg(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type is not null").select("event_type", "value")
+    return Job(EVENT_TOTALS, rows).run(spark).withColumn("total", F.round("total", 4))
+
+
+@udtf(returnType="name string, number long")
+class Properties:
+    """The whole numbers in a flat JSON object, by name."""
+
+    def eval(self, text: str):
+        import json
+
+        for name, value in json.loads(text or "{}").items():
+            if isinstance(value, int):
+                yield name, value
+
+
+@query("select event_id, 'k' as name, json_extract_string(props, '$.k')::bigint as number from events where json_extract_string(props, '$.k') is not null")
+def custom_udtf(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "props")
+    return rows.lateralJoin(Properties(F.col("props").outer())).select("event_id", "name", "number")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
