@@ -215,5 +215,8 @@ def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     rows = written(rows.withColumn("__row", F.monotonically_increasing_id()))
     least = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
     linked = least.join(written(fingerprint_classes(least, most)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = written(linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").select(*schema.names)
+    linked = written(linked)
+    first = linked.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.__row").alias("first"))
+    stays = linked.join(first, "root").select(F.col("fp").alias("__fp"), "first")
+    gone = written(rows.select("__row", "__fp").join(stays, "__fp").where("__row <> first").select("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*schema.names)
