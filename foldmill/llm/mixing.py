@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldmill.llm.common import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of labelled quality 0, quality 1 and of documents without a label.
 LOW, HIGH, UNKNOWN = 0.5, 1.0, 0.75
@@ -69,7 +71,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, weights: tuple
     word of its target. A null id draws as the text 'null'; a null source is a
     source; repeated rows draw alike and stand one behind the other; no rows, no result.
     """
-    sized = quality(sizes(docs), labels)
+    sized = quality(written(sizes(docs)), labels)
     goal = targets(sized.select("source", "size"), weights, share, most)
     goal = goal.withColumn("whole", F.round("target").cast("long"))
     goal = goal.withColumn("epochs", F.expr("if(source_size = 0, 0L, whole div source_size)"))
