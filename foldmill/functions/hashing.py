@@ -104,10 +104,15 @@ def _rotl(x: np.ndarray, k: int) -> np.ndarray:
 
 def lookup3_many(values: list[bytes], seed: int = 0) -> np.ndarray:
     """Bob Jenkins' lookup3 (hashlittle): 12 bytes a step into three words, then a final mix."""
+    return lookup3_pairs(values, seed)[0]
+
+
+def lookup3_pairs(values: list[bytes], seed: int = 0, second: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each value (hashlittle2): the first is that of lookup3 if the second seed is 0."""
     flat, n = _matrix(values, 12)
     words = flat.view("<u4").reshape(len(values), -1)
     a = (np.uint64(0xDEADBEEF) + n.astype(np.uint64) + np.uint64(seed)).astype(U32)
-    b, c = a.copy(), a.copy()
+    b, c = a.copy(), a + U32(second)
     steps = np.maximum(1, -(-n // 12))
     for s in range(words.shape[1] // 3):
         live = np.flatnonzero((s < steps) & (n > 0))
@@ -125,7 +130,7 @@ def lookup3_many(values: list[bytes], seed: int = 0) -> np.ndarray:
             got[turn] = (got[turn] ^ got[other]) - _rotl(got[other], k)
         for state, m, f in zip((a, b, c), mixed, got, strict=True):
             state[live] = np.where(last, f, m)
-    return c
+    return c, b
 
 
 def murmur2_many(values: list[bytes], seed: int = 42) -> np.ndarray:

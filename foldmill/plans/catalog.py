@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from foldmill.functions import hashing, scalars, sequences, tokens
+from foldmill.functions import hashing, packing, scalars, sequences, tokens
 from foldmill.operators import apps, sinks
 from foldmill.operators.crossing import cross_queries
 from foldmill.plans.job import Job
@@ -318,6 +318,18 @@ def delta_roundtrip(spark, sf_dir):
     return sequences.undeltas(coded, ["user_id"], ["event_id"]).drop("delta")
 
 
+@query("select user_id, array_to_string(list_sort(list(event_id)), ' ') as ids from events group by user_id")
+def packed_roundtrip(spark, sf_dir):
+    listed = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return listed.select("user_id", F.array_join(packing.unpacked(packing.packed(F.col("ids"))), " ").alias("ids"))
+
+
+@query("select doc_id, md5(text) as m from documents")
+def zlib_roundtrip(spark, sf_dir):
+    back = packing.uncompressed(packing.compressed(F.encode("text", "UTF-8")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(back).alias("m"))
+
+
 @query()
 def perceptual_bits(spark, sf_dir):
     wide = F.flatten(F.array_repeat("embedding", IMAGE_SIDE * IMAGE_SIDE // 64))

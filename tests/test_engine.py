@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from foldmill.operators import apps, sinks
 from foldmill.operators.crossing import cross_queries
 from foldmill.plans import catalog
+from foldmill.plans.config import configured, parse
 from foldmill.plans.job import Job
 from foldmill.plans.spec import AggSpec, lookup, register, registered
 from foldmill.sources import readers
@@ -130,3 +131,18 @@ def test_stream(spark, tmp_path):
             (source / "b.txt").write_text(more)
         to_table(stream(), str(tmp_path / "out"), str(tmp_path / "state")).start().awaitTermination(60)
         assert counts(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("k1 x\nk2 y\nk1 x\n")
+    path = tmp_path / "in.txt"
+    assert counts(configured({"input": {"path": str(path)}}).job.run(spark)) == {"k1 x": 2, "k2 y": 1}
+    text = f'# counts\ninput.path = {path}\ninput.delimiter = " \\n"\naggregate.grams = 2\naggregate.strategy = hashsort\noutput.kind = tab\n'
+    made = configured(text)
+    assert (made.kind, made.output) == ("tab", None) and counts(made.job.run(spark)) == {"k1-x": 2, "k2-y": 1}
+    assert counts(configured({"input": {"path": str(path), "delimiter_second": " "}}).job.run(spark)) == {"k1": 2, "k2": 1}
+    (tmp_path / "c.cfg").write_text(text)
+    assert configured(tmp_path / "c.cfg").job.rounds == 0
+    for bad in (lambda: configured({"input": {"speed": 3}}), lambda: parse("nothing")):
+        with pytest.raises(ValueError):
+            bad()

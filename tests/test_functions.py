@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foldmill.functions import hashing, scalars, sequences, tokens
+from foldmill.functions import hashing, packing, scalars, sequences, tokens
 
 
 def one(spark, column, *values, kind="string"):
@@ -45,6 +45,12 @@ def test_published_hash_vectors():
     assert hashing.lookup3_many([b"", b"Four score and seven years ago"]).tolist() == [0xDEADBEEF, 0x17770551]
     assert hashing.lookup3_many([b""], 0xDEADBEEF).tolist() == [0xBD5B7DDE]
     assert hashing.lookup3_many([b"Four score and seven years ago"], 1).tolist() == [0xCD628161]
+    four = b"Four score and seven years ago"
+    cases = {(b"", 0, 0): (0xDEADBEEF, 0xDEADBEEF), (b"", 0, 0xDEADBEEF): (0xBD5B7DDE, 0xDEADBEEF), (b"", 0xDEADBEEF, 0xDEADBEEF): (0x9C093CCD, 0xBD5B7DDE)}
+    cases |= {(four, 0, 0): (0x17770551, 0xCE7226E6), (four, 0, 1): (0xE3607CAE, 0xBD371DE4), (four, 1, 0): (0xCD628161, 0x6CBEA4B3)}
+    for (value, seed, second), want in cases.items():
+        c, b = hashing.lookup3_pairs([value], seed, second)
+        assert (int(c[0]), int(b[0])) == want
 
 
 def murmur2(v, seed):
@@ -96,3 +102,14 @@ def test_vector_hashes(spark):
     assert got[0] == got[1] and (got[0] % 2**64).bit_count() == 32 and got[2:] == [None, None]
     m = sequences.dct_matrix(32)
     assert abs(m @ m.T - [[float(i == j) for j in range(32)] for i in range(32)]).max() < 1e-12
+
+
+def test_packing(spark):
+    rng = random.Random(4)
+    for values in ([], [0], [3, 5, 9], [7, 7, 7], sorted(rng.randrange(1 << 40) for _ in range(500)), list(range(1000))):
+        assert packing.unpack_sorted(packing.pack_sorted(values)) == values
+    assert len(packing.pack_sorted(list(range(1000)))) < 300
+    with pytest.raises(ValueError):
+        packing.pack_sorted([2, 1])
+    assert one(spark, lambda c: packing.unpacked(packing.packed(c)), [1, 4], None, kind="array<long>") == [[1, 4], None]
+    assert one(spark, lambda c: F.decode(packing.uncompressed(packing.compressed(F.encode(c, "UTF-8"))), "UTF-8"), "é" * 50, "", None) == ["é" * 50, "", None]
