@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 MOST_QUERIES = 20_000
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt evenly by a key, for crossings whose work on a row far outweighs moving it; never fewer partitions than before."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(3 * cores, rows.rdd.getNumPartitions()), key)
+
+
 def cross_queries(rows: DataFrame, queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     """Each record with each query, the query's columns behind the record's.
 

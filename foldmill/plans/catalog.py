@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 
 from foldmill.functions import hashing, packing, scalars, sequences, tokens
 from foldmill.operators import apps, sinks
-from foldmill.operators.crossing import cross_queries
+from foldmill.operators.crossing import cross_queries, spread
 from foldmill.plans.job import Job
 from foldmill.plans.spec import PythonAgg
 
@@ -122,7 +122,7 @@ def query_word_cross(spark, sf_dir):
 @query("select doc_id, item_id, abs(length(d.text) - length(b.text))::bigint as difference, contains(d.text, b.text) as contained from documents d cross join benchmark b")
 def query_file_cross(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("contents"))
-    crossed = cross_queries(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    crossed = cross_queries(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), items)
     difference = F.abs(F.length("text") - F.length("contents")).cast("long")
     return crossed.select("doc_id", "item_id", difference.alias("difference"), F.contains("text", "contents").alias("contained"))
 
