@@ -1,7 +1,9 @@
 """Secret scans: candidates in texts, and a random forest that removes false positives.
 
-Candidates are runs of letters, digits and ``+/_-.~`` within a word: with a digit
-and 12 characters or more, or of 6 or more behind ``=`` or ``:``. The forest looks at a
+Candidates are runs of letters, digits and ``+/_-.~`` within a word, with a digit
+and 12 characters or more, or in a known format; and values of 6 or more behind ``=`` or ``:``, in the same
+word or at the end of the one before. Values take other signs too: in quotation
+marks up to the closing one, else up to a bracket, comma or semicolon. The forest looks at a
 candidate's length, its characters and their transitions, how much of it a
 dictionary covers, whether it stands in a path, and the words around it. It is
 trained here from labelled findings, which a seeded generator writes in the
@@ -31,9 +33,14 @@ FINDINGS, TREES, DEPTH, LEAF = 3000, 40, 10, 4
 THRESHOLD = 0.5
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RUN = re.compile(rb"[A-Za-z0-9+/_\-.~]{6,}={0,2}")
+#: A value behind a sign of assignment, quoted or not.
+VALUE = re.compile(rb"\"([^\s\"=:][^\s\"]{5,})|'([^\s'=:][^\s']{5,})|[\"']*((?:[^\s\"'`<>()\[\]{},;&=:]|&(?![\w.\-]*=))(?:[^\s\"'`<>()\[\]{},;&]|&(?![\w.\-]*=)){5,})")
+SIGN = re.compile(rb"[=:](?![=:])")
 KEYWORD = re.compile(rb"pass(?:wd|word|phrase)?|pwd|secret|token|api_?-?key|apikey|access_?key|private_?key|auth|bearer|credential|client_secret|signature", re.I)
 BENIGN = re.compile(rb"commit|sha\d*|md5|checksum|digest|hash|uuid|guid|version|release|example|sample|test|dummy|placeholder|card|phone|tel|order|invoice|isbn|issue|ticket|image|file|etag|revision|build", re.I)
 KNOWN = re.compile(rb"AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|sk_(?:live|test)_[A-Za-z0-9]{24,}$|xox[abprs]-[A-Za-z0-9-]{20,}$|AIza[0-9A-Za-z_\-]{35}$|eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-.]+$|glpat-[A-Za-z0-9_\-]{20}$|npm_[A-Za-z0-9]{36}$")
+#: Bytes of the shortest of these; they need no digit.
+SHORTEST_KNOWN = 20
 AROUND = 3
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("value", pa.string()), ("score", pa.float64()), ("is_secret", pa.bool_())])
 
@@ -49,14 +56,32 @@ class Finding:
     after: list[bytes]
 
 
+def assigns(before: list[bytes]) -> bool:
+    """Whether the word before ends in a sign of assignment."""
+    return bool(before) and before[-1].endswith((b"=", b":"))
+
+
 def candidates(word: bytes, before: list[bytes], after: list[bytes]) -> Iterator[Finding]:
+    """Runs, and assigned values; of those that begin at the same byte the longest."""
+    found: dict[int, bytes] = {}
     for m in RUN.finditer(word):
         value = m.group().rstrip(b".")
-        head = word[: m.start()].rstrip(b"\"'")
-        assigned = head.endswith((b"=", b":")) or (not head and bool(before) and before[-1] in (b"=", b":", b":="))
-        digits = any(48 <= c <= 57 for c in value)
-        if digits and len(value) >= 12 or assigned and len(value) >= 6:
-            yield Finding(value, word, m.start(), before, after)
+        if len(value) >= 12 and any(48 <= c <= 57 for c in value) or KNOWN.match(value):
+            found[m.start()] = value
+    signs = [m.end() for m in SIGN.finditer(word)]
+    for at in [0, *signs] if assigns(before) else signs:
+        m = VALUE.match(word, at)
+        if m:
+            value = m.group(m.lastindex)
+            value = value.rstrip(b".") if m.lastindex == 3 else value
+            if len(value) >= 6 and len(value) > len(found.get(m.start(m.lastindex), b"")):
+                found[m.start(m.lastindex)] = value
+    end = 0
+    for start, value in sorted(found.items()):
+        inside = start + len(value) <= end and start not in signs and word[start - 1 : start] not in (b'"', b"'") and not KNOWN.match(value)
+        if not inside:
+            yield Finding(value, word, start, before, after)
+        end = max(end, start + len(value))
 
 
 def kinds(value: bytes) -> np.ndarray:
@@ -113,7 +138,7 @@ class Reader:
             float(bool(BENIGN.search(around))),
             float(bool(KNOWN.match(v))),
             float(hexa),
-            float(f.word[: f.start].rstrip(b"\"'").endswith((b"=", b":")) or (bool(f.before) and f.before[-1] in (b"=", b":"))),
+            float((head := f.word[: f.start].rstrip(b"\"'")).endswith((b"=", b":")) or (not head and assigns(f.before))),
         ]
 
 
@@ -160,6 +185,10 @@ def labelled_findings(words: list[bytes], n: int = FINDINGS, seed: int = 17) ->
         lambda: f"{key()}{join()}{text(alnum + '-_.~', rng.randrange(10, 30))}",
         lambda: f"Authorization: Bearer {text(alnum + '-_', rng.choice([32, 40, 64]))}",
         lambda: f"{key()}{join()}{uuid()}",
+        lambda: f"{key()}{join()}{text(alnum, 3)}{text(digits, 2)}{text(alnum, rng.randrange(3, 7))}",
+        lambda: f"{key()}{join()}{text(alnum, 3)}{rng.choice('!@#$%^*?')}{text(alnum + '!@#$%^*?', rng.randrange(4, 12))}{text(digits, 2)}",
+        lambda: f"{key()}{join()}{word()}{text(digits, rng.randrange(1, 4))}{text(lower, rng.randrange(2, 5))}",
+        lambda: f"{key()}{join()}{word().title()}{rng.choice(['', '!', '@', '#'])}{text(digits, rng.randrange(3, 6))}{rng.choice(['', '!', '$', '?'])}",
     ]
     others = [
         lambda: f"{rng.choice(['commit', 'revision', 'merge', 'sha1', 'etag'])}{rng.choice([' ', ': ', '='])}{text(hexa, 40)}",
@@ -193,6 +222,8 @@ def labelled_findings(words: list[bytes], n: int = FINDINGS, seed: int = 17) ->
             made = close(rng.choice(makers)()) + rng.choice(["", "", ".", ",", ";"])
             line = " ".join([sides[0], made, sides[1]]).encode().split()
             found = [f for i, w in enumerate(line) for f in candidates(w, line[max(0, i - AROUND) : i], line[i + 1 : i + 1 + AROUND])]
+            if label and not found:
+                raise ValueError(f"no candidate in {line}")
             if found:
                 out.append((max(found, key=lambda f: len(f.value)), label))
                 k += 1
@@ -279,8 +310,9 @@ def findings_in(w: Words) -> tuple[list[Finding], list[int], list[int]]:
     sign = np.concatenate([[0], np.cumsum((w.data == 61) | (w.data == 58))])
     size = w.end - w.start
     has = lambda total: total[w.end] > total[w.start]
-    maybe = (size >= 12) & has(digit) | (size >= 7) & has(sign)
-    maybe[1:] |= (w.row[1:] == w.row[:-1]) & (size[1:] >= 6) & (size[:-1] <= 2) & has(sign)[:-1]
+    maybe = (size >= 12) & has(digit) | (size >= SHORTEST_KNOWN) | (size >= 7) & has(sign)
+    last = w.data[w.end - 1]
+    maybe[1:] |= (w.row[1:] == w.row[:-1]) & (size[1:] >= 6) & ((last == 61) | (last == 58))[:-1]
     raw = w.data.tobytes()
     found, rows, starts = [], [], []
     for i in np.flatnonzero(maybe).tolist():
@@ -310,7 +342,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
                 found, rows, starts = findings_in(of_rows(part))
                 score = held.value.scores(found)
                 if found:
-                    yield table({"doc_id": part.column(0).take(pa.array(rows)), "start": starts, "length": [len(f.value) for f in found], "value": [f.value.decode() for f in found], "score": score, "is_secret": score >= threshold}, OUT)
+                    yield table({"doc_id": part.column(0).take(pa.array(rows)), "start": starts, "length": [len(f.value) for f in found], "value": [f.value.decode(errors="replace") for f in found], "score": score, "is_secret": score >= threshold}, OUT)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, value string, score double, is_secret boolean")
 
