@@ -22,7 +22,7 @@ from foldmill.llm.common import U64, Words, batches, shuffle_partitions, text_by
 
 #: Bytes of text of a block; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 21
-#: The id that stands for a null one.
+#: A null id is written as the largest long, with a flag behind all ids.
 NO_ID = np.iinfo(np.int64).max
 MESSAGE = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 MESSAGE_DDL = "key long, block long, body binary"
@@ -54,29 +54,35 @@ def unpack_arrays(body: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def blocks_of(docs: DataFrame, index: Callable[[np.ndarray, Words], bytes] | None = None, size: int = 0, rest: list[str] | None = None) -> DataFrame:
+def ids_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's ids, and which of them are null."""
+    n = len(body) // 9
+    return np.frombuffer(body, np.int64, n), np.frombuffer(body, np.bool_, n, 8 * n)
+
+
+def blocks_of(docs: DataFrame, index: Callable[[Words], tuple[bytes, bytes]] | None = None, rest: list[str] | None = None) -> DataFrame:
     """The table of blocks of (doc_id, text), written to the shared folder; nulls are empty texts.
 
-    ``index`` makes a body of a block's words, in lower-case ASCII letters, to be
-    kept beside it, and may add to an array of ``size`` counts; each task's counts
-    follow as a row without a block. Columns named in ``rest`` are kept for ``told`` to hand on.
+    ``index`` makes two bodies of a block's words, in lower-case ASCII letters, to be
+    kept beside it. Columns named in ``rest`` are kept for ``told`` to hand on.
     """
     spark = docs.sparkSession
     batches(spark)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
         held: list[tuple] = []
         room = 0
 
         def flush() -> pa.RecordBatch:
             data = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
-            made = index(counts, Words(data, np.concatenate([[0], np.cumsum(sizes)]), lower=True)) if index else None
-            row = secrets.randbits(62), np.concatenate([h[0] for h in held]).tobytes(), sizes.tobytes(), squeeze(data.tobytes()), table_bytes([h[3] for h in held]) if rest else None, made, None
+            made = index(Words(data, np.concatenate([[0], np.cumsum(sizes)]), lower=True)) if index else (None, None)
+            ids = np.concatenate([h[0] for h in held]).tobytes() + np.concatenate([h[4] for h in held]).tobytes()
+            row = secrets.randbits(62), ids, sizes.tobytes(), squeeze(data.tobytes()), table_bytes([h[3] for h in held]) if rest else None, *made
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
         for batch in parts:
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data, off = text_bytes(batch.column(1))
             at = 0
@@ -86,16 +92,13 @@ def blocks_of(docs: DataFrame, index: Callable[[np.ndarray, Words], bytes] | Non
                     yield flush()
                     held, room = [], 0
                     continue
-                held.append((ids[at:to], data[off[at] : off[to]], np.diff(off[at : to + 1]), batch.slice(at, to - at).select(rest) if rest else None))
+                held.append((ids[at:to], data[off[at] : off[to]], np.diff(off[at : to + 1]), batch.slice(at, to - at).select(rest) if rest else None, none[at:to]))
                 room += int(off[to] - off[at])
                 at = to
         if held:
             yield flush()
-        if counts.any():
-            row = None, None, None, None, None, None, squeeze(counts.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text", *(c for c in rest or [] if c not in ("doc_id", "text"))).mapInArrow(run, "block long, ids binary, sizes binary, data binary, rest binary, index binary, sketch binary"))
+    return written(docs.select(F.col("doc_id").cast("long"), "text", *(c for c in rest or [] if c not in ("doc_id", "text"))).mapInArrow(run, "block long, ids binary, sizes binary, data binary, rest binary, index binary, sketch binary"), keep=True)
 
 
 def table_bytes(parts: list[pa.RecordBatch]) -> bytes:
@@ -107,8 +110,11 @@ def table_bytes(parts: list[pa.RecordBatch]) -> bytes:
 
 
 def opened(ids: bytes, sizes: bytes, data: bytes, lower: bool = False) -> tuple[np.ndarray, Words]:
+    """A block's ids and words; ``w.no_id`` tells which ids are null."""
     off = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
-    return np.frombuffer(ids, np.int64), Words(np.frombuffer(unsqueeze(data), np.uint8), off, lower=lower)
+    w = Words(np.frombuffer(unsqueeze(data), np.uint8), off, lower=lower)
+    own, w.no_id = ids_of(ids)
+    return own, w
 
 
 def shards_for(blocks: DataFrame) -> int:
@@ -116,18 +122,18 @@ def shards_for(blocks: DataFrame) -> int:
     return 4 * max(shuffle_partitions(blocks.sparkSession), blocks.rdd.getNumPartitions())
 
 
-def ask(blocks: DataFrame, tell: Callable[[np.ndarray, Words], Iterator[tuple[np.ndarray, Callable[[np.ndarray], bytes]]]], lower: bool = False) -> DataFrame:
-    """One message for each (shard, body) that ``tell`` makes of a block."""
+def ask(blocks: DataFrame, tell: Callable[..., Iterator[tuple[int, bytes]]], lower: bool = False, beside: tuple[str, ...] = ()) -> DataFrame:
+    """One message for each (shard, body) that ``tell`` makes of a block's ids and words, and of the columns named in ``beside``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                out = list(tell(*opened(row["ids"], row["sizes"], row["data"], lower)))
+                out = list(tell(*opened(row["ids"], row["sizes"], row["data"], lower), *(row[c] for c in beside)))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], schema=MESSAGE)
                 tidy()
 
-    return blocks.select("block", "ids", "sizes", "data").mapInArrow(run, MESSAGE_DDL)
+    return blocks.select("block", "ids", "sizes", "data", *beside).mapInArrow(run, MESSAGE_DDL)
 
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -139,13 +145,13 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(shard[part[0]]), part
 
 
-def answer(messages: DataFrame, run: Callable[[list[int], list[bytes]], object], partitions: int, names: tuple[str, ...] = ()) -> DataFrame:
-    """What ``run`` makes of all messages of a shard: (blocks, bodies) to (block, body); with ``names``, to arrays of longs of these names."""
+def answer(messages: DataFrame, run: Callable[[list[int], list[bytes], int], object], partitions: int, names: tuple[str, ...] = ()) -> DataFrame:
+    """What ``run`` makes of all messages of a shard: (blocks, bodies, shard) to (block, body); with ``names``, to arrays of longs of these names."""
 
     def group(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("block").to_numpy(), kind="stable").tolist()
         block, body = rows.column("block").to_pylist(), rows.column("body").to_pylist()
-        out = run([block[i] for i in order], [body[i] for i in order])
+        out = run([block[i] for i in order], [body[i] for i in order], rows.column("key")[0].as_py())
         tidy()
         if names:
             return pa.Table.from_arrays([pa.array(x.view(np.int64)) for x in out], names=list(names))

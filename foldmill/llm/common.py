@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ _powers: list[np.ndarray] = []
 _libc: list[Callable] = []
 _calls = [0]
 TIDY = 12
+_scratch: list[list[str]] = []
 
 
 def batches(spark: SparkSession) -> None:
@@ -44,18 +47,26 @@ def batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where that is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foldmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and its rows outlive the executors.
 
-    The shuffle files behind it are of no more use and go at once.
+    The shuffle files behind it are of no more use and go at once. The table goes at
+    the end of the innermost ``scratch``, or with ``keep`` of the one around that; else with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldmill/{uuid.uuid4().hex}"
@@ -65,9 +76,36 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
+    files, at = _file(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end, unless they are kept for what is around it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            files, at = _file(spark, path)
+            files.delete(at, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind them where columns are called so already (in whatever case)."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tidy() -> None:
     """Hand memory that this worker has freed back to the machine, every now and then."""
     _calls[0] += 1

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import written
+from foldmill.llm.common import scratch, written
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,23 +35,25 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest path. Nothing but one row of counts comes to the
     driver. An edge from a node to itself, a null end and repeated edges are allowed and change nothing.
     """
-    links = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    before = None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    with scratch(edges.sparkSession):
+        links = written(
+            edges.where("a is not null and b is not null and a <> b")
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            .distinct()
+        )
+        before = None
+        while True:
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            links = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+            now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        found = links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+            links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        )
+        return written(found, keep=True)

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foldmill.llm.blocks import squeeze
-from foldmill.llm.common import U64, Sent, batches, gram_hashes, mix, of_rows, pieces, table, tidy, written
+from foldmill.llm.blocks import squeeze, unsqueeze
+from foldmill.llm.common import U64, Sent, batches, fresh, gram_hashes, mix, of_rows, pieces, scratch, table, tidy, written
 from foldmill.llm.components import components
-from foldmill.llm.lines import COUNTS, TENTHS, prefix, summed
+from foldmill.llm.lines import TENTHS, prefix
 
 PARITIES = [f"p{k}" for k in range(4)]
 ENTRIES = pa.schema([("key", pa.int64()), ("sig", pa.int64())])
@@ -74,6 +74,32 @@ class Shingles:
         return out
 
 
+#: Counts of the table of hashed shingles (its size is fixed), and the parts that it is cut into to be summed.
+COUNTS, SLICES = 1 << 20, 16
+
+
+def summed(tables: DataFrame) -> np.ndarray:
+    """The tasks' tables of counts as one. Their slices are summed in groups of about the root of their number, then these sums."""
+    many = max(1, int(tables.rdd.getNumPartitions() ** 0.5))
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for raw in batch.column(0).to_pylist():
+                bodies = [squeeze(x.tobytes()) for x in np.split(np.frombuffer(unsqueeze(raw), np.int64), SLICES)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array(bodies, pa.binary())], names=["slice", "body"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTS // SLICES, np.int64)
+        for body in rows.column("body").to_pylist():
+            total += np.frombuffer(unsqueeze(body), np.int64)
+        return pa.Table.from_arrays([rows.column("slice").slice(0, 1), pa.array([squeeze(total.tobytes())], pa.binary())], names=["slice", "body"])
+
+    kind = "slice long, body binary"
+    rows = tables.mapInArrow(cut, kind).groupBy("slice", F.pmod(F.xxhash64("body"), F.lit(many))).applyInArrow(add, kind)
+    rows = rows.groupBy("slice").applyInArrow(add, kind).orderBy("slice").collect()
+    return np.concatenate([np.frombuffer(unsqueeze(bytes(r.body)), np.int64) for r in rows]) if rows else np.zeros(COUNTS, np.int64)
+
+
 def levels(rows: DataFrame, shingle: int) -> np.ndarray:
     """The rarity of each hashed shingle: eighths of the count's logarithm."""
 
@@ -82,7 +108,7 @@ def levels(rows: DataFrame, shingle: int) -> np.ndarray:
         for batch in parts:
             for part in pieces(batch):
                 some = True
-                np.add.at(counts, Shingles(part, shingle).buckets(), 1)
+                counts += np.bincount(Shingles(part, shingle).buckets(), minlength=COUNTS)
                 tidy()
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([squeeze(counts.tobytes())], pa.binary())], names=["sketch"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foldmill.llm.blocks import NO_ID, answer, ask, blocks_of, by_shard, pack_arrays, shards_for, spread, told, unpack_arrays
-from foldmill.llm.common import U64, Words, gram_hashes, mix, shuffle_partitions, span_hashes, written
+from foldmill.llm.common import U64, Words, gram_hashes, mix, scratch, shuffle_partitions, span_hashes, written
 from foldmill.llm.fmindex import FMIndex, least_in
 
 WINDOW, RUN = 13, 5
@@ -66,7 +66,7 @@ def anchors_told(size: int, shards: int):
     return tell
 
 
-def anchors_answered(blocks: list[int], bodies: list[bytes]) -> list[tuple[int, bytes]]:
+def anchors_answered(blocks: list[int], bodies: list[bytes], _: int) -> list[tuple[int, bytes]]:
     got = [unpack_arrays(b, U64, np.uint16) for b in bodies]
     anchor, at, blocks_with = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True, return_counts=True)
     windows = np.bincount(at, np.concatenate([g[1] for g in got]))
@@ -136,7 +136,7 @@ def passages_told(size: int, shards: int):
 
 
 def passages_answered(size: int):
-    def run(blocks: list[int], bodies: list[bytes]) -> list[tuple[int, bytes]]:
+    def run(blocks: list[int], bodies: list[bytes], _: int) -> list[tuple[int, bytes]]:
         got = [unpack_arrays(b, np.int64, np.int64, np.int32, np.uint8) for b in bodies]
         number: dict[bytes, int] = {}
         mine = [np.array([number.setdefault(p, len(number)) for p in g[3].tobytes().split(b"\n")]) for g in got]
@@ -184,7 +184,7 @@ def removed(size: int):
             h, least = h[order], least[order]
             at = np.minimum(np.searchsorted(h, x.hash), len(h) - 1)
             doc = ids[w.row[x.at]]
-            gone = x.at[(h[at] == x.hash) & (least[at] < doc) & (doc != NO_ID)]
+            gone = x.at[(h[at] == x.hash) & (least[at] < doc) & ~w.no_id[w.row[x.at]]]
             np.add.at(covered, gone, 1)
             np.add.at(covered, gone + size, -1)
         keep = np.cumsum(covered)[:-1] == 0
@@ -199,7 +199,7 @@ def removed(size: int):
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], keep[a:b], [False]]).astype(np.int8))) + a
                 kept.append(b" ".join(text[start[i] : end[j - 1]] for i, j in edge.reshape(-1, 2).tolist()).decode("utf-8", "replace"))
         gone = np.bincount(w.row[~keep], minlength=len(ids))
-        return pa.Table.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(w.count), pa.array(gone), pa.array(kept, pa.string())], schema=OUT)
+        return pa.Table.from_arrays([pa.array(ids, mask=w.no_id), pa.array(w.count), pa.array(gone), pa.array(kept, pa.string())], schema=OUT)
 
     return run
 
@@ -209,15 +209,16 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     A word goes if a window that covers it also starts in a document with a smaller
     doc_id, judged on the input. Null and empty texts have no words; texts shorter
-    than a window stay whole. A row with a null doc_id (or the largest long) is no
-    document's predecessor and stays whole. Rows with one doc_id don't remove each
+    than a window stay whole. A row with a null doc_id is no document's
+    predecessor and stays whole. Rows with one doc_id don't remove each
     other. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     blocks = blocks_of(docs)
     shards = shards_for(blocks)
     parts = max(shuffle_partitions(spark), shards // 4)
-    again = written(answer(ask(blocks, anchors_told(size, shards)), anchors_answered, parts))
-    sent = told(blocks, again, passages_told(size, shards), "key long, block long, body binary")
-    found = written(answer(sent, passages_answered(size), parts))
+    with scratch(spark):
+        again = written(answer(ask(blocks, anchors_told(size, shards)), anchors_answered, parts))
+        sent = told(blocks, again, passages_told(size, shards), "key long, block long, body binary")
+        found = written(answer(sent, passages_answered(size), parts), keep=True)
     return told(blocks, found, removed(size), OUT_DDL)
