@@ -2,7 +2,8 @@
 
 1. toxicity: documents whose score reaches the threshold go.
 2. line_dedup: lines that match an earlier line go, and documents that lose all their lines.
-3. near_dedup: one document of each group of near-duplicates (0.8 of their five-word shingles) stays.
+3. near_dedup: one document of each group of near-duplicates stays: those whose SimHash of five-word shingles
+   differs in up to 4 bits, or which have 0.8 of these shingles in common.
 4. decontamination: documents that overlap a benchmark item go.
 5. mixing: sources are mixed to their target weights.
 """
@@ -13,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmill.llm import decontam, lines, mixing, near_sets, toxicity
+from foldmill.llm import decontam, lines, mixing, simhash, toxicity
 from foldmill.llm.common import written
 from foldmill.llm.learning import crc_fold
 
@@ -32,7 +33,7 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_sets.one_of_each(docs, shingle=5)
+    return simhash.one_of_each(docs, shingle=5, similar=True)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from foldmill.llm.blocks import squeeze, unsqueeze
-from foldmill.llm.common import U64, Sent, batches, fresh, gram_hashes, mix, of_rows, pieces, scratch, table, tidy, written
+from foldmill.llm.common import U64, Sent, gram_hashes, mix, of_rows, pieces, scratch, table, tidy, written
 from foldmill.llm.components import components
 from foldmill.llm.lines import TENTHS, prefix
 
@@ -116,8 +115,13 @@ def levels(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.minimum(255, np.log2(summed(rows.select("text").mapInArrow(count, "sketch binary")) + 1.0) * 8).astype(np.uint8)
 
 
-def set_classes(rows: DataFrame, shingle: int) -> DataFrame:
-    """(sig, root) for each set of rows (row, sig, text) that is linked to another one."""
+def set_classes(rows: DataFrame, shingle: int, known: DataFrame) -> DataFrame:
+    """(sig, root) for each set of rows (row, sig, text) that is linked to another one, by its similarity or by ``known`` links (a, b)."""
+    with scratch(rows.sparkSession):
+        return written(set_links(rows, shingle, known), keep=True)
+
+
+def set_links(rows: DataFrame, shingle: int, known: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     level = Sent(spark, levels(rows, shingle))
 
@@ -171,8 +175,8 @@ def set_classes(rows: DataFrame, shingle: int) -> DataFrame:
 
     stars = shared.where("sig <> least").select(F.col("least").alias("sig_a"), F.col("sig").alias("sig_b")).distinct()
     stars = written(stars.join(marked("_a"), "sig_a").join(marked("_b"), "sig_b").where(may).select("sig_a", "sig_b"))
-    links = verified(stars)
-    roots = written(components(links))
+    links = verified(stars).unionByName(known)
+    roots = components(links)
     open_ = shared.select("key", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     open_ = written(open_)
     keys = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -180,29 +184,3 @@ def set_classes(rows: DataFrame, shingle: int) -> DataFrame:
     a, b = (open_.select("key", *[F.col(c).alias(c + s) for c in open_.columns if c != "key"]) for s in ("_a", "_b"))
     rest = written(a.join(b, "key").where((F.col("sig_a") < F.col("sig_b")) & (F.col("root_a") != F.col("root_b")) & may).select("sig_a", "sig_b").distinct())
     return components(links.unionByName(verified(rest))).select(F.col("node").alias("sig"), "root")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs, with all their columns, with one row of each component: the least doc_id, null last; of equal ids any one.
-
-    Texts without words have equal sets, as have repeated rows.
-    """
-    schema, at = docs.schema, docs.columns.index("text")
-    batches(docs.sparkSession)
-    if {"__sig", "__row"} & set(docs.columns):
-        raise ValueError("docs has columns of reserved names")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for part in pieces(batch, batch.schema.names[at]):
-                yield part.append_column("__sig", pa.array(Shingles(part, shingle, part.schema.names[at]).sig))
-
-    rows = docs.mapInArrow(run, StructType([*schema.fields, StructField("__sig", LongType())]))
-    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()))
-    least = rows.groupBy(F.col("__sig").alias("sig")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
-    texts = rows.select(F.col("__row").alias("row"), F.col("__sig").alias("sig"), F.col(schema.names[at]).alias("text"))
-    linked = written(least.join(written(set_classes(texts, shingle)), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    first = linked.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.__row").alias("first"))
-    stays = linked.join(first, "root").select(F.col("sig").alias("__sig"), "first")
-    gone = written(rows.select("__row", "__sig").join(stays, "__sig").where("__row <> first").select("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*schema.names)

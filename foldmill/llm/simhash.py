@@ -8,6 +8,11 @@ within Manhattan distance 4 agree fully on 3 groups at least. Each distinct
 fingerprint is entered in the grid's 35 projections onto three groups (a cell is
 a point of such a projection); within a cell, points are joined on the Manhattan
 distance over all coordinates and then verified on the Hamming distance.
+
+Four bits are reached by near-equal texts only. Where all documents whose shingle
+sets are alike in eight of ten shingles have to be found, ``one_of_each`` takes
+these links too (see near_sets): the sets that fingerprints have linked are one
+before the sets are compared.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foldmill.llm.common import U64, batches, mix, of_rows, pieces, shuffle_partitions, table, written
+from foldmill.llm import near_sets
+from foldmill.llm.common import U64, batches, fresh, mix, of_rows, pieces, scratch, shuffle_partitions, table, tidy, written
 from foldmill.llm.components import components, local_roots
 
 #: Two-bit segments of each of the seven groups of coordinates.
@@ -51,6 +57,11 @@ def fingerprints(batch: pa.RecordBatch, shingle: int = 4, column: str = "text")
     row = np.concatenate([w.row[at], short])
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(text[a:b], 42) for a, b in zip(start[left].tolist(), end[right].tolist(), strict=True)), U64, len(left))
+    return majority(h, row, n)
+
+
+def majority(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Per row the bits that are set in over half of its hashes."""
     out = np.zeros(n, U64)
     for lo in range(0, n, 256):
         hi = min(n, lo + 256)
@@ -168,15 +179,16 @@ def fingerprint_classes(prints: DataFrame, most: int = 4) -> DataFrame:
                 node, root = local_roots(a.view(np.int64), b.view(np.int64))
                 yield table({"a": node[node != root], "b": root[node != root]}, EDGES)
 
-    points = written(prints.select("fp").distinct().mapInArrow(enter, "cell long, fp long"))
-    sizes = points.groupBy("cell").count().where(F.col("count") > HOT_CELL)
-    hot = written(sizes.select("cell"))
-    if not hot.isEmpty():
-        kept = points.join(hot, "cell", "left_anti")
-        points = kept.unionByName(points.join(hot, "cell", "left_semi").select("cell", "fp").mapInArrow(refine, "cell long, fp long"))
-    parts = max(shuffle_partitions(spark), points.rdd.getNumPartitions())
-    edges = points.repartition(parts, "cell").mapInArrow(link, "a long, b long")
-    return components(edges).select(F.col("node").alias("fp"), "root")
+    with scratch(spark):
+        points = written(prints.select("fp").distinct().mapInArrow(enter, "cell long, fp long"))
+        sizes = points.groupBy("cell").count().where(F.col("count") > HOT_CELL)
+        hot = written(sizes.select("cell"))
+        if not hot.isEmpty():
+            kept = points.join(hot, "cell", "left_anti")
+            points = kept.unionByName(points.join(hot, "cell", "left_semi").select("cell", "fp").mapInArrow(refine, "cell long, fp long"))
+        parts = max(shuffle_partitions(spark), points.rdd.getNumPartitions())
+        edges = points.repartition(parts, "cell").mapInArrow(link, "a long, b long")
+        return written(components(edges).select(F.col("node").alias("fp"), "root"), keep=True)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
@@ -187,36 +199,57 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     doc_id stays in the result and counts as no component's least id unless all
     of them are null. Repeated rows stay repeated. An empty table gives an empty one.
     """
-    prints = written(with_fingerprints(docs, shingle))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = written(fingerprint_classes(prints, most))
-    linked = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = written(linked)
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(linked.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession):
+        prints = written(with_fingerprints(docs, shingle), keep=True)
+        least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        linked = written(least.join(fingerprint_classes(prints, most), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+        found = written(linked.join(ids, "root").select("fp", "component_id"), keep=True)
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4, similar: bool = False) -> DataFrame:
     """docs, with all their columns, with one row of each component: the least doc_id, null last; of equal ids any one.
 
-    A component of a single row keeps it, whatever its id; repeated rows are one component.
+    Links are fingerprints that differ in up to ``most`` bits; with ``similar``,
+    fingerprints of the sets of shingles are compared, and sets with a Jaccard
+    similarity of 0.8 are links as well. A component of a single row keeps it,
+    whatever its id; repeated rows, and texts without words, are one component. A
+    very long text is hashed whole, alone in its batch. Columns of any names are
+    passed through; an empty table gives an empty one.
     """
-    schema, at = docs.schema, docs.columns.index("text")
-    batches(docs.sparkSession)
-    if {"__fp", "__row"} & set(docs.columns):
-        raise ValueError("docs has columns of reserved names")
+    spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index("text")
+    batches(spark)
+    sig, fp, row = fresh(docs.columns, "sig", "fp", "row")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for part in pieces(batch):
-                yield part.append_column("__fp", pa.array(fingerprints(part, shingle, part.schema.names[at]).view(np.int64)))
-
-    rows = docs.mapInArrow(run, StructType([*schema.fields, StructField("__fp", LongType())]))
-    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()))
-    least = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
-    linked = least.join(written(fingerprint_classes(least, most)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = written(linked)
-    first = linked.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.__row").alias("first"))
-    stays = linked.join(first, "root").select(F.col("fp").alias("__fp"), "first")
-    gone = written(rows.select("__row", "__fp").join(stays, "__fp").where("__row <> first").select("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*schema.names)
+            for part in pieces(batch, batch.schema.names[at]):
+                if similar:
+                    x = near_sets.Shingles(part, shingle, part.schema.names[at])
+                    own, prints = x.sig, majority(x.value, x.row, part.num_rows)
+                else:
+                    own = prints = fingerprints(part, shingle, part.schema.names[at])
+                yield part.append_column(sig, pa.array(own.view(np.int64))).append_column(fp, pa.array(prints.view(np.int64)))
+                tidy()
+
+    with scratch(spark):
+        rows = docs.mapInArrow(run, StructType([*schema.fields, StructField(sig, LongType()), StructField(fp, LongType())]))
+        rows = written(rows.withColumn(row, F.monotonically_increasing_id()), keep=True)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("least")
+        least = written(rows.groupBy(F.col(sig).alias("sig")).agg(first, F.min(fp).alias("fp")))
+        classes = fingerprint_classes(least, most)
+        if similar:
+            print_root = least.join(classes, "fp", "left").select("sig", F.coalesce("root", "fp").alias("root"))
+            ends = print_root.groupBy("root").agg(F.min("sig").alias("b"))
+            known = written(print_root.join(ends, "root").where("sig <> b").select(F.col("sig").alias("a"), "b"))
+            texts = rows.select(F.col(row).alias("row"), F.col(sig).alias("sig"), F.col(schema.names[at]).alias("text"))
+            classes = near_sets.set_classes(texts, shingle, known)
+        else:
+            classes = classes.withColumnRenamed("fp", "sig")
+        linked = written(least.join(classes, "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+        stays = linked.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.row").alias("first"))
+        stays = linked.join(stays, "root").select(F.col("sig").alias(sig), "first")
+        gone = rows.select(row, sig).join(stays, sig).where(F.col(row) != F.col("first")).select(row)
+        gone = written(gone, keep=True)
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in schema.names])

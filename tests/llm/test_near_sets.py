@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from foldmill.llm import near_sets
+from foldmill.llm import near_sets, simhash
 from tests.llm.helpers import SCHEMA, docs, words
 
 
@@ -10,18 +13,25 @@ def shingles(text, n=5):
     return frozenset(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([" ".join(w)] if w else [])
 
 
+def prints(texts):
+    x = near_sets.Shingles(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), 5)
+    return simhash.majority(x.value, x.row, len(texts))
+
+
 def survivors(rows):
-    """By brute force: the least id of each component of documents that are alike in eight of ten shingles."""
-    sets = {}
+    """By brute force: the least id of each component of documents that are alike in eight of ten shingles, or whose fingerprints are."""
+    sets, one = {}, {}
     for i, text in rows:
         sets.setdefault(shingles(text), []).append(i)
+        one[shingles(text)] = text
+    fp = dict(zip(sets, prints([one[s] for s in sets]), strict=True))
     left, out = set(sets), set()
     while left:
         group, front = set(), [left.pop()]
         while front:
             s = front.pop()
             group.add(s)
-            near = {t for t in left if 10 * len(s & t) >= 8 * len(s | t) and s and t}
+            near = {t for t in left if (10 * len(s & t) >= 8 * len(s | t) and s and t) or np.bitwise_count(fp[s] ^ fp[t]) <= 4}
             left -= near
             front += near
         out.add(min(i for s in group for i in sets[s]))
@@ -56,13 +66,19 @@ def test_all_pairs_of_the_similarity(spark):
 def test_documents(spark, small):
     df = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").limit(1500)
     df = spark.createDataFrame(df.collect(), df.schema)
-    got = {r.doc_id for r in near_sets.one_of_each(df).collect()}
+    got = {r.doc_id for r in simhash.one_of_each(df, 5, similar=True).collect()}
     assert got == survivors([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_clashing_columns(spark):
+    df = docs(spark).selectExpr("*", "'s' as sig", "1 as __row", "2 as __fp", "3 as ROW_")
+    got = simhash.one_of_each(df, 5, similar=True)
+    assert got.columns == df.columns and got.count() == 6
+
+
 def test_awkward_rows(spark):
     df = docs(spark)
-    once = near_sets.one_of_each(df)
+    once = simhash.one_of_each(df, 5, similar=True)
     assert once.dtypes == df.dtypes
     assert sorted(map(str, (r.doc_id for r in once.collect()))) == sorted(map(str, [1, 4, 5, None, 7, 8]))
-    assert near_sets.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert simhash.one_of_each(spark.createDataFrame([], SCHEMA), 5, similar=True).count() == 0

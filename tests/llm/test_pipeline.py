@@ -3,8 +3,7 @@ from foldmill.llm import lines, simhash, toxicity
 from foldmill.llm.learning import crc_fold
 from tests.llm.helpers import SCHEMA, docs
 from tests.llm.test_decontam import holds
-from tests.llm.test_simhash import brute as fingerprint
-from tests.llm.test_simhash import classes
+from tests.llm.test_near_sets import survivors
 
 
 def test_stages_take_effect(spark, small):
@@ -24,8 +23,7 @@ def test_stages_take_effect(spark, small):
     want = {r.doc_id: (r.kept, len(r.kept) if r.n_removed else None) for r in lines.remove_lines(kept).collect() if r.n_removed < r.n_lines or not r.n_removed}
     chars = {r.doc_id: r.n_chars for r in got["toxicity"]}
     assert {r.doc_id: (r.text, r.n_chars) for r in got["line_dedup"]} == {d: (t, chars[d] if n is None else n) for d, (t, n) in want.items()}
-    groups = {x[3] for x in classes([(r.doc_id, fingerprint(r.text, 5)) for r in got["line_dedup"]], 4)}
-    assert {r.doc_id for r in got["near_dedup"]} == groups
+    assert {r.doc_id for r in got["near_dedup"]} == survivors([(r.doc_id, r.text) for r in got["line_dedup"]])
     items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert {r.doc_id for r in got["decontamination"]} == {r.doc_id for r in got["near_dedup"] if not any(holds(r.text, i) for i in items)}
     assert len(got["mixing"]) == len(got["decontamination"])
