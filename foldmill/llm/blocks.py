@@ -60,25 +60,32 @@ def ids_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.int64, n), np.frombuffer(body, np.bool_, n, 8 * n)
 
 
-def blocks_of(docs: DataFrame, index: Callable[[Words], tuple[bytes, bytes]] | None = None, rest: list[str] | None = None) -> DataFrame:
+def blocks_of(docs: DataFrame, index: Callable[[Words], bytes] | None = None, rest: list[str] | None = None, counter: Callable[[], object] | None = None) -> DataFrame:
     """The table of blocks of (doc_id, text), written to the shared folder; nulls are empty texts.
 
-    ``index`` makes two bodies of a block's words, in lower-case ASCII letters, to be
-    kept beside it. Columns named in ``rest`` are kept for ``told`` to hand on.
+    ``index`` makes a body of a block's words, in lower-case ASCII letters, to be
+    kept beside it. What ``counter`` makes gets the words' hashes of a task's blocks
+    (``add``), and its body (``body``) follows as a row without a block. Columns named
+    in ``rest`` are kept for ``told`` to hand on.
     """
     spark = docs.sparkSession
     batches(spark)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        room = 0
+        room, counts = 0, counter() if counter else None
 
         def flush() -> pa.RecordBatch:
             data = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
-            made = index(Words(data, np.concatenate([[0], np.cumsum(sizes)]), lower=True)) if index else (None, None)
+            made = None
+            if index:
+                w = Words(data, np.concatenate([[0], np.cumsum(sizes)]), lower=True)
+                made = index(w)
+                if counts is not None:
+                    counts.add(w.hashes())
             ids = np.concatenate([h[0] for h in held]).tobytes() + np.concatenate([h[4] for h in held]).tobytes()
-            row = secrets.randbits(62), ids, sizes.tobytes(), squeeze(data.tobytes()), table_bytes([h[3] for h in held]) if rest else None, *made
+            row = secrets.randbits(62), ids, sizes.tobytes(), squeeze(data.tobytes()), table_bytes([h[3] for h in held]) if rest else None, made, None
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
         for batch in parts:
@@ -97,6 +104,9 @@ def blocks_of(docs: DataFrame, index: Callable[[Words], tuple[bytes, bytes]] | N
                 at = to
         if held:
             yield flush()
+        if counts is not None:
+            row = *[None] * (len(BLOCK) - 1), counts.body()
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
     return written(docs.select(F.col("doc_id").cast("long"), "text", *(c for c in rest or [] if c not in ("doc_id", "text"))).mapInArrow(run, "block long, ids binary, sizes binary, data binary, rest binary, index binary, sketch binary"), keep=True)
 
@@ -145,20 +155,19 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(shard[part[0]]), part
 
 
-def answer(messages: DataFrame, run: Callable[[list[int], list[bytes], int], object], partitions: int, names: tuple[str, ...] = ()) -> DataFrame:
-    """What ``run`` makes of all messages of a shard: (blocks, bodies, shard) to (block, body); with ``names``, to arrays of longs of these names."""
+def answer(messages: DataFrame, run: Callable[[list[int], list[bytes]], object], partitions: int, ddl: str = "") -> DataFrame:
+    """What ``run`` makes of all messages of a shard: (blocks, bodies) to (block, body); with ``ddl``, to a table of that schema."""
 
     def group(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("block").to_numpy(), kind="stable").tolist()
         block, body = rows.column("block").to_pylist(), rows.column("body").to_pylist()
-        out = run([block[i] for i in order], [body[i] for i in order], rows.column("key")[0].as_py())
+        out = run([block[i] for i in order], [body[i] for i in order])
         tidy()
-        if names:
-            return pa.Table.from_arrays([pa.array(x.view(np.int64)) for x in out], names=list(names))
+        if ddl:
+            return out
         return pa.Table.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "body"])
 
-    ddl = ", ".join(f"{n} long" for n in names) if names else "block long, body binary"
-    return messages.repartition(partitions, "key").groupBy("key").applyInArrow(group, ddl)
+    return messages.repartition(partitions, "key").groupBy("key").applyInArrow(group, ddl or "block long, body binary")
 
 
 def told(blocks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], ddl: str, columns: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
