@@ -4,7 +4,7 @@ The pieces are those of a fixed public vocabulary; each language has its own
 probabilities of them, learned by expectation maximisation on a bounded sample of
 labelled texts. The probability of a word is the sum over all its segmentations,
 which the forward algorithm makes for all distinct words of a batch at once; a
-text's score adds its words' logarithms. Words are runs of letters, in lower case.
+text's score adds its words' logarithms. Words are runs of letters and the marks on them, in lower case.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled documents of each language that probabilities are learned from (at most twice as many).
 TRAIN_ROWS = 400
 ROUNDS = 4
-LONGEST_PIECE = 10
-#: Longer runs of letters are scored in blocks of so many.
-LONGEST_WORD = 32
+#: Longer words are not learned from, and scored by a forward pass that holds a few positions at a time, of so many letters of all words.
+LONGEST_WORD, STRETCH = 32, 1 << 20
 #: The probability of a letter that is no piece.
 UNKNOWN = 1e-7
 BEFORE = 0x2581
@@ -38,10 +37,12 @@ OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", p
 _letters: list[np.ndarray] = []
 
 
-def letters() -> np.ndarray:
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are letters or marks."""
     if not _letters:
-        _letters.append(np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+        kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        _letters.extend(np.fromiter((k in of for k in kind), bool, 0x110000) for of in ("L", "LM"))
+    return _letters[0], _letters[1]
 
 
 def load_pieces(path: str = PIECES) -> list[str]:
@@ -55,7 +56,7 @@ def load_pieces(path: str = PIECES) -> list[str]:
             continue
         piece = model.id_to_piece(i).lower()
         body = piece[1:] if piece[0] == chr(BEFORE) else piece
-        if len(piece) <= LONGEST_PIECE and all(letters()[ord(c)] for c in body) and piece:
+        if all(letters()[1][ord(c)] for c in body) and piece:
             out.add(piece)
     return sorted(out)
 
@@ -66,7 +67,7 @@ class Lexicon:
     SLOTS = 1 << 19
 
     def __init__(self, pieces: list[str]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces))
         self.key = np.zeros(self.SLOTS + 64, U64)
         self.number = np.full(self.SLOTS + 64, self.size, np.int32)
         points = [np.array([ord(c) for c in p], U64) for p in pieces]
@@ -105,11 +106,11 @@ def prefix_hash(points: np.ndarray):
 
 
 def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the lower-case texts; starts, ends and rows of their words."""
+    """Code points of the lower-case texts; starts, ends and rows of their words, which have a letter at least."""
     low = [t.lower() for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     off = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
-    inside = letters()[points]
+    inside = letters()[1][points]
     edge = np.zeros(len(points) + 1, bool)
     edge[off] = True
     first, last = inside.copy(), inside.copy()
@@ -117,11 +118,8 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         first[1:] &= ~inside[:-1] | edge[1:-1]
         last[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    blocks = -(-(end - start) // LONGEST_WORD)
-    if len(blocks) and blocks.max() > 1:
-        number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = np.repeat(start, blocks) + number * LONGEST_WORD
-        end = np.minimum(np.repeat(end, blocks), start + LONGEST_WORD)
+    own = np.concatenate([[0], np.cumsum(letters()[0][points])])
+    start, end = (v[own[end] > own[start]] for v in (start, end))
     return points, start, end, np.searchsorted(off, start, "right") - 1
 
 
@@ -141,7 +139,7 @@ def spans(words: np.ndarray, lexicon: Lexicon) -> dict[tuple[int, int], np.ndarr
     base = np.arange(n) * width
     out = {}
     for j in range(1, width + 1):
-        for i in range(max(0, j - LONGEST_PIECE), j):
+        for i in range(max(0, j - lexicon.longest), j):
             found = lexicon.find(h(base + i, base + j))
             if (found < lexicon.size).any():
                 out[i, j] = found
@@ -155,19 +153,49 @@ def forward(found: dict, n: int, width: int, prob: np.ndarray) -> np.ndarray:
     table_ = np.ascontiguousarray(prob.T)
     for j in range(1, width + 1):
         alpha[j] = alpha[j - 1] * UNKNOWN
-        for i in range(max(0, j - LONGEST_PIECE), j):
+        for i in range(j):
             if (i, j) in found:
                 alpha[j] += alpha[i] * table_[found[i, j]]
     return alpha
 
 
+def forward_long(words: np.ndarray, lexicon: Lexicon, prob: np.ndarray) -> np.ndarray:
+    """The logarithm of what ``forward`` ends with, for words of any length: alpha is scaled as it goes, and few of its values are held."""
+    n, width = words.shape
+    longest, table_ = lexicon.longest, np.ascontiguousarray(prob.T)
+    step = max(4 * longest, STRETCH // n)
+    length = np.arange(1, longest + 1)
+    last, scale = np.zeros((longest, n, len(prob))), np.zeros((n, len(prob)))
+    last[-1] = 1.0
+    for lo in range(0, width, step):
+        hi, back = min(width, lo + step), max(0, lo - longest)
+        part = np.ascontiguousarray(words[:, back:hi])
+        h, m = prefix_hash(part.ravel()), hi - back
+        at = (np.arange(n)[:, None] * m + np.arange(m)).ravel()
+        found = np.full((longest, n, m), lexicon.size, np.int32)
+        for k in range(min(longest, m)):
+            whole = (at % m) + k < m
+            found[k].ravel()[whole] = lexicon.find(h(at[whole], at[whole] + k + 1))
+        for j in range(lo + 1, hi + 1):
+            use = min(longest, j)
+            # pieces of 1 to ``use`` letters that end at j, and alpha where they begin
+            piece = found[length[:use] - 1, :, j - length[:use] - back]
+            new = last[-1] * UNKNOWN + (last[::-1][:use] * table_[piece]).sum(0)
+            last = np.concatenate([last[1:], new[None]])
+            if j % 8 == 0:
+                top = last.max(0)
+                last /= top
+                scale += np.log(top)
+    return np.log(last[-1]) + scale
+
+
 def backward(found: dict, n: int, width: int, prob: np.ndarray) -> np.ndarray:
     beta = np.zeros((width + 1, n, len(prob)))
     beta[width] = 1.0
     table_ = np.ascontiguousarray(prob.T)
     for i in range(width - 1, -1, -1):
         beta[i] = beta[i + 1] * UNKNOWN
-        for j in range(i + 1, min(width, i + LONGEST_PIECE) + 1):
+        for j in range(i + 1, width + 1):
             if (i, j) in found:
                 beta[i] += beta[j] * table_[found[i, j]]
     return beta
@@ -196,10 +224,14 @@ class Scorer:
     def words(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.empty((len(start), len(self.model.langs)))
         for which, rows in by_length(points, start, end):
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
-                alpha = forward(spans(part, self.lexicon), len(part), part.shape[1], self.model.prob)
-                out[which[k : k + 20_000]] = np.log(alpha[-1])
+            long = rows.shape[1] > LONGEST_WORD + 1
+            step = max(1, STRETCH // rows.shape[1]) if long else 20_000
+            for k in range(0, len(rows), step):
+                part = rows[k : k + step]
+                if long:
+                    out[which[k : k + step]] = forward_long(part, self.lexicon, self.model.prob)
+                else:
+                    out[which[k : k + step]] = np.log(forward(spans(part, self.lexicon), len(part), part.shape[1], self.model.prob)[-1])
         return out
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +286,7 @@ def expectation_maximisation(words: list[str], count: np.ndarray, pieces: list[s
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, path: str = PIECES) -> Model | None:
-    """The model of a bounded sample of (doc_id, text, lang); None if no row has a language and letters."""
+    """The model of a bounded sample of (doc_id, text, lang); None if no row has a language and letters. Words of over LONGEST_WORD letters are not learned from."""
     batches(docs.sparkSession)
     sample, counts = sampled(docs.select("doc_id", "text", "lang").where("text is not null"), "lang", train_rows)
 
@@ -263,6 +295,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, path: str = PIECES) -> Mo
             got: dict[tuple[str, str], int] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 points, start, end, _ = word_spans([text])
+                start, end = (v[end - start <= LONGEST_WORD] for v in (start, end))
                 raw = points.tobytes()
                 for a, b in zip((4 * start).tolist(), (4 * end).tolist(), strict=True):
                     key = lang, raw[a:b].decode("utf-32-le", "replace")
@@ -287,7 +320,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs; score is the language's posterior probability.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text
-    where there was nothing to learn from. Null ids and repeated rows stay; an empty table gives an empty one.
+    where there was nothing to learn from. Null ids and repeated rows stay; a very long text or word is scored whole;
+    other columns are not read, whatever their names. An empty table gives an empty one.
     """
     batches(docs.sparkSession)
 

@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldmill.llm.common import written
+
+#: Bytes of text of a labelled sample.
+TRAIN_BYTES = 32 << 20
+
 
 def crc_fold(column: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id is in no fold."""
@@ -27,15 +32,21 @@ def sampled(rows: DataFrame, by: str, limit: int) -> tuple[DataFrame, dict]:
     return rows.where(drawn < share).limit(2 * limit * max(1, len(counts))), counts
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, worst: str) -> tuple[DataFrame, dict]:
-    """(doc_id, text, label) of a bounded sample with as many rows of either class.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, worst: str, most_bytes: int = TRAIN_BYTES) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label) of a bounded sample with as many rows of either class, one row for each id; inside a ``scratch``.
 
-    Of several labels for one document the ``worst`` (min or max) counts. The sample
-    of ids is broadcast: it has 4 * limit rows at most. Documents with a null text are left out.
+    Of several labels for one document the ``worst`` (min or max) counts, of several texts
+    the least. The sample of ids is broadcast: it has 4 * limit rows at most. Rows are taken
+    in order of a hash of their id until their texts have ``most_bytes`` (the first one always). Documents with a null text are left out.
     """
     one = labels.groupBy("doc_id").agg(getattr(F, worst)(label).cast("int").alias("label"))
     ids, counts = sampled(one, "label", limit)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id"), counts
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).withColumn("turn", F.xxhash64("doc_id", F.lit("turn"))))
+    sizes = sorted((r[0], r[1]) for r in rows.select("turn", F.octet_length("text")).collect())
+    total = np.cumsum([n for _, n in sizes])
+    last = sizes[max(0, int(np.searchsorted(total, most_bytes, "right")) - 1)][0] if sizes else 0
+    return rows.where(F.col("turn") <= last).drop("turn"), counts
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import BASE, SPACE, U64, Words, batches, gram_hashes, mix, pieces, span_hashes, table, text_bytes
+from foldmill.llm.common import BASE, SPACE, U64, Words, batches, gram_hashes, mix, pieces, scratch, span_hashes, table, text_bytes
 from foldmill.llm.learning import class_weights, labelled, logistic, sigmoid, sparse_logistic
 
 #: Hashed dimensions: two bits for the kind of n-gram and the rest for its hash.
@@ -114,9 +114,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """The model of a bounded labelled sample; None if it lacks one of the classes."""
+    """The model of a bounded labelled sample (rows and bytes, see learning); None if it lacks one of the classes."""
     batches(docs.sparkSession)
-    sample, counts = labelled(docs, labels, "quality", train_rows, "min")
 
     def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -130,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
                     value.append(100 * n / max(1, len(dim)))
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(2), pa.array([np.concatenate(at).astype(np.int32).tobytes()], pa.binary()), pa.array([np.concatenate(value).astype(np.float32).tobytes()], pa.binary())], names=["doc_id", "label", "dims", "shares"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(vectors, "doc_id long, label int, dims binary, shares binary").collect()
+    with scratch(docs.sparkSession):
+        sample, counts = labelled(docs, labels, "quality", train_rows, "min")
+        rows = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(vectors, "doc_id long, label int, dims binary, shares binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.dims)))
     y = np.array([float(r.label >= 1) for r in rows])
     if len(set(y)) < 2:
@@ -150,7 +151,8 @@ def apply_rules(docs: DataFrame, model: Model | None, keep: float = KEEP) -> Dat
     A null or empty text has no words and fails; so does one with under 50 words,
     or with over half of its words in repeated 3-word windows. Without a model
     (no labels of one class) the score is null and the base rules decide. A null
-    doc_id and repeated rows stay as they are; an empty table gives an empty one.
+    doc_id and repeated rows stay as they are; a very long text is scored whole, alone
+    in its batch; other columns are not read, whatever their names. An empty table gives an empty one.
     """
     batches(docs.sparkSession)
 

@@ -3,7 +3,9 @@
 The ordinary dictionary is trained by zstandard on windows of ordinary rows. Its
 trainer fills a dictionary with what is frequent, which in toxic rows is ordinary
 language again; so the toxic one is trained by the same greedy cover over toxic
-rows, but of word beginnings that are frequent against ordinary rows. A window is
+rows, but of word beginnings that are frequent against ordinary rows. (With
+``trained`` it is zstandard's trainer again that makes the dictionary, of the toxic
+rows' words with such beginnings; that finds less, see the README.) A window is
 compressed once with the ordinary dictionary and once with both; the bytes saved
 are its distance. Thresholds for windows are quantiles of ordinary windows'
 savings. A text's score is a logistic function of what its windows save, fitted
@@ -23,15 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import Words, batches, pieces, table, text_bytes
+from foldmill.llm.common import Words, batches, pieces, scratch, table, text_bytes
 from foldmill.llm.learning import class_weights, labelled, logistic, sigmoid
 
 #: Bytes from which a window ends with the word that reaches them.
 WINDOW = 64
-#: Labelled rows of either class (at most twice as many) and windows of each row that the model is fitted on.
+#: Labelled rows of either class that the model is fitted on, at most twice as many.
 TRAIN_ROWS = 1000
-TRAIN_WINDOWS = 400
-ORDINARY_BYTES, SAMPLE_BYTES = 16384, 4_000_000
+#: Bytes of the ordinary dictionary and of one trained on toxic words; bytes that the trainer gets (of more, every so manieth window).
+ORDINARY_BYTES, TOXIC_BYTES, SAMPLE_BYTES = 16384, 2048, 4_000_000
 #: Bytes of a word's beginning; standard deviations above ordinary rows; what a toxic row counts after each cover; the least share of rows that a new one covers.
 STEM = range(4, 14)
 CONTRAST, DECAY, LEAST = 3.5, 0.7, 0.01
@@ -68,10 +70,10 @@ class Dictionaries:
         return made
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
+def trained(samples: list[bytes], size: int, k: int = 64, d: int = 6) -> bytes:
     """The content of a zstandard dictionary; the samples themselves where they are too few to train one."""
     try:
-        made = zstandard.train_dictionary(size, samples, k=64, d=6, steps=4, level=LEVEL).as_bytes()
+        made = zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL, **({"steps": 4} if k == 64 else {})).as_bytes()
     except (zstandard.ZstdError, ValueError):
         made = b"\n".join(samples)[-size:]
     return made or b"\n"
@@ -122,17 +124,25 @@ def toxic_dictionary(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> b
     return b"".join(b" " + y for y in reversed(out)) + b" "
 
 
-def dictionaries(rows: list[tuple[int, list[bytes]]]) -> Dictionaries:
-    """Of (label, windows) rows."""
+def toxic_words(toxic: list[list[bytes]], found: set[bytes]) -> list[bytes]:
+    """The beginnings in ``found`` of the toxic rows' words, as often as they are there."""
+    out = []
+    for y in (y.strip(MARKS) for row in toxic for x in row for y in x.split()):
+        hit = [y[:n] for n in STEM if n <= len(y) and y[:n] in found]
+        if hit:
+            out.append(b" " + max(hit, key=len) + b" ")
+    return out
+
+
+def dictionaries(rows: list[tuple[int, list[bytes]]], by_trainer: bool = False) -> Dictionaries:
+    """Of (label, windows) rows; ``by_trainer``: the toxic one too is made by zstandard's trainer."""
     ordinary, toxic = [x for label, x in rows if not label], [x for label, x in rows if label]
-    samples, size = [], 0
-    for x in (x for row in ordinary for x in row):
-        size += len(x)
-        if size > SAMPLE_BYTES:
-            break
-        samples.append(x)
-    first = trained(samples, ORDINARY_BYTES)
-    return Dictionaries(first, toxic_dictionary(toxic, ordinary) + first)
+    samples = [x for row in ordinary for x in row]
+    first = trained(samples[:: max(1, -(-sum(map(len, samples)) // SAMPLE_BYTES))], ORDINARY_BYTES)
+    second = toxic_dictionary(toxic, ordinary)
+    if by_trainer:
+        second = trained(toxic_words(toxic, set(second.split())), TOXIC_BYTES, 16, 8)
+    return Dictionaries(first, second + first)
 
 
 def summaries(saved: np.ndarray, row: np.ndarray, n: int, levels: tuple[float, ...]) -> np.ndarray:
@@ -163,35 +173,35 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1]), found
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """The model of a bounded labelled sample; None if it lacks one of the classes.
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, by_trainer: bool = False) -> Model | None:
+    """The model of a bounded labelled sample (rows and bytes, see learning); None if it lacks one of the classes.
 
     A hash of the id deals the rows into folds; each fold's savings come from
     dictionaries of the other folds, those of the model from all rows.
     """
     batches(docs.sparkSession)
-    sample, counts = labelled(docs, labels, "toxic", train_rows, "max")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
-    sample = sample.select(F.col("doc_id").cast("long"), "text", (F.col("label") >= 1).cast("int").alias("label"), fold.cast("int").alias("fold"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
                 found, _ = windows(Words(*text_bytes(one.column(1)), lower=True))
-                step = max(1, -(-len(found) // TRAIN_WINDOWS))
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(2), one.column(3), pa.array([b"\n".join(x.replace(b"\n", b" ") for x in found[::step])], pa.binary())], names=["doc_id", "label", "fold", "found"])
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(2), one.column(3), pa.array([b"\n".join(x.replace(b"\n", b" ") for x in found)], pa.binary())], names=["doc_id", "label", "fold", "found"])
 
-    got = sorted(sample.mapInArrow(cut, "doc_id long, label int, fold int, found binary").collect(), key=lambda r: (r.doc_id, r.found))
+    with scratch(docs.sparkSession):
+        sample, counts = labelled(docs, labels, "toxic", train_rows, "max")
+        sample = sample.select(F.col("doc_id").cast("long"), "text", (F.col("label") >= 1).cast("int").alias("label"), fold.cast("int").alias("fold"))
+        got = sorted(sample.mapInArrow(cut, "doc_id long, label int, fold int, found binary").collect(), key=lambda r: (r.doc_id, r.found))
     if len({r.label for r in got}) < 2:
         return None
     rows = [(r.fold, r.label, [x for x in bytes(r.found).split(b"\n") if x]) for r in got]
-    final = dictionaries([r[1:] for r in rows])
+    final = dictionaries([r[1:] for r in rows], by_trainer)
     y = np.array([float(r[1]) for r in rows])
     saved: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
     for k in range(FOLDS):
         others = [r[1:] for r in rows if r[0] != k]
-        a, b = (x.compress for x in (dictionaries(others) if len({r[0] for r in others}) == 2 else final).compressors())
+        a, b = (x.compress for x in (dictionaries(others, by_trainer) if len({r[0] for r in others}) == 2 else final).compressors())
         for i, r in enumerate(rows):
             if r[0] == k:
                 saved[i] = np.array([len(a(x)) - len(b(x)) for x in r[2]], np.int64)
@@ -207,7 +217,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A null or empty text has no windows and the score of such a text; without a
     model (no labels of one class) every score is 0. Null ids and repeated rows
-    stay; an empty table gives an empty one.
+    stay; a very long text is scored whole, alone in its batch; other columns are
+    not read, whatever their names. An empty table gives an empty one.
     """
     batches(docs.sparkSession)
 

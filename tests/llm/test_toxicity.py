@@ -1,9 +1,13 @@
+import math
+import re
 import zlib
 
 import pyarrow as pa
+import pytest
 
 from foldmill.llm import queries, toxicity
-from foldmill.llm.common import Words, text_bytes
+from foldmill.llm.common import Words, scratch, text_bytes
+from foldmill.llm.learning import labelled
 from tests.llm.helpers import SCHEMA, docs
 
 
@@ -19,6 +23,43 @@ def test_held_out_accuracy(spark, small):
     assert sum(r.predicted == labels[r.doc_id] for r in held) > 0.93 * len(held)
 
 
+def test_scores_against_brute_force(spark, small):
+    """Windows and summaries one by one, from the model's dictionaries, thresholds and weights."""
+    df, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    for by_trainer in (False, True):
+        model = toxicity.fit(df, labels, by_trainer=by_trainer)
+        made = model.dictionaries.compressors()
+
+        def score(text):
+            raw = (text or "").encode()
+            raw = bytes(c | 32 if 65 <= c <= 90 else c for c in raw)
+            cut = {}
+            for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+                cut.setdefault(m.start() // toxicity.WINDOW, []).append(m.span())
+            saved = sorted((len(made[0].compress(w)) - len(made[1].compress(w)) for w in (raw[s[0][0] : s[-1][1]] for s in cut.values())), reverse=True)
+            n = max(1, len(saved))
+            above = [sum(s >= x for s in saved) for x in model.levels]
+            x = [max(saved, default=0), sum(saved[:4]) / min(4, n), sum(saved) / n, above[0] / n, above[1] / n, math.log1p(above[1]), math.log1p(above[2])]
+            z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.weights[-1]
+            return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+        few = spark.createDataFrame(df.limit(60).collect() + [(1000, None, None, None, 0)], df.schema)
+        text = {r.doc_id: r.text for r in few.collect()}
+        for r in toxicity.score(few, model).collect():
+            assert r.score == pytest.approx(score(text[r.doc_id]), abs=1e-9)
+
+
+def test_a_hot_id_is_one_row_of_the_sample(spark):
+    rows = [(1, "bad words here")] * 500 + [(k, f"good text {k}") for k in range(2, 40)]
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 40)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with scratch(spark):
+        got, counts = labelled(df, labels, "toxic", 1000, "max")
+        assert got.count() == 39 and counts == {0: 38, 1: 1}
+        few, _ = labelled(df, labels, "toxic", 1000, "max", 100)
+        assert 0 < sum(len(r.text) for r in few.collect()) <= 100
+
+
 def test_windows_hold_all_words():
     texts = ["", "a bc " * 200, " x ", "w" * 500 + " y"]
     found, row = toxicity.windows(Words(*text_bytes(pa.array(texts)), lower=True))
