@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from foldmill.functions.scalars import bytes_of
+from foldmill.functions.scalars import by_byte, bytes_of
 
 MASK = 0xFFFFFFFF
 U32 = np.uint32
@@ -32,15 +32,21 @@ def _right(c: Column, n: int) -> Column:
     return F.shiftright(c, n)
 
 
+#: The constants of the two integer hashes that have some.
+AVALANCHE_1 = (0x7ED55D16, 0xC761C23C, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F09)
+AVALANCHE_HALF = (0x479AB41D, 0xE4AA10CE, 0x9942F0A6, 0x5AEDD67D, 0x17BEA992)
+
+
 def avalanche_1(key: Column) -> Column:
     """Integer hash with six shifts and constants, full avalanche."""
+    c = AVALANCHE_1
     a = _low(key.cast("long"))
-    a = _low(a + 0x7ED55D16 + _left(a, 12))
-    a = a.bitwiseXOR(F.lit(0xC761C23C)).bitwiseXOR(_right(a, 19))
-    a = _low(a + 0x165667B1 + _left(a, 5))
-    a = _low(a + 0xD3A2646C).bitwiseXOR(_left(a, 9))
-    a = _low(a + 0xFD7046C5 + _left(a, 3))
-    return a.bitwiseXOR(F.lit(0xB55A4F09)).bitwiseXOR(_right(a, 16))
+    a = _low(a + c[0] + _left(a, 12))
+    a = a.bitwiseXOR(F.lit(c[1])).bitwiseXOR(_right(a, 19))
+    a = _low(a + c[2] + _left(a, 5))
+    a = _low(a + c[3]).bitwiseXOR(_left(a, 9))
+    a = _low(a + c[4] + _left(a, 3))
+    return a.bitwiseXOR(F.lit(c[5])).bitwiseXOR(_right(a, 16))
 
 
 def avalanche_2(key: Column) -> Column:
@@ -57,12 +63,13 @@ def avalanche_2(key: Column) -> Column:
 
 def avalanche_half(key: Column) -> Column:
     """Integer hash with half avalanche: use its high bits."""
+    c = AVALANCHE_HALF
     a = _low(key.cast("long"))
-    a = _low(a + 0x479AB41D + _left(a, 8))
-    a = a.bitwiseXOR(F.lit(0xE4AA10CE)).bitwiseXOR(_right(a, 5))
-    a = _low(_low(a + 0x9942F0A6) - _left(a, 14))
-    a = a.bitwiseXOR(F.lit(0x5AEDD67D)).bitwiseXOR(_right(a, 3))
-    return _low(a + 0x17BEA992 + _left(a, 7))
+    a = _low(a + c[0] + _left(a, 8))
+    a = a.bitwiseXOR(F.lit(c[1])).bitwiseXOR(_right(a, 5))
+    a = _low(_low(a + c[2]) - _left(a, 14))
+    a = a.bitwiseXOR(F.lit(c[3])).bitwiseXOR(_right(a, 3))
+    return _low(a + c[4] + _left(a, 7))
 
 
 def fnv1(text: Column) -> Column:
@@ -73,7 +80,7 @@ def fnv1(text: Column) -> Column:
 def null_hash(text: Column, shift: int = 0) -> Column:
     """Four bytes, signed and the first highest, that end ``shift`` bytes before the end; 0 if there are fewer."""
     start = F.octet_length(text) - shift - 3
-    part = lambda k: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), start + k, F.lit(1))), 16, 10).cast("long")
+    part = lambda k: F.ascii(F.substring(by_byte(text), start + k, F.lit(1))).cast("long")
     signed = lambda b: F.when(b > 127, b - 256).otherwise(b)
     total = sum((F.shiftleft(signed(part(k)), 24 - 8 * k) for k in range(1, 4)), F.shiftleft(signed(part(0)), 24))
     return F.when(start >= 1, _low(total)).otherwise(F.lit(0).cast("long"))

@@ -40,9 +40,12 @@ def distance(a: Column, b: Column) -> Column:
 
 def bytes_of(text: Column) -> Column:
     """The UTF-8 bytes as numbers 0 to 255."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    one = lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-    return F.when(F.octet_length(text) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(text)), one)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(text) > 0, F.transform(F.split(by_byte(text), ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def by_byte(text: Column) -> Column:
+    """A text with one character for each UTF-8 byte, of that code."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
 def byte_sum(text: Column) -> Column:

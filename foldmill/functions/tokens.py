@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Default delimiters of records (lines), of words, and of white space.
+#: Default delimiters of records (lines), of words, and of white space (fixed values).
 LINES = "\n\r"
 WORDS = " .-_\t\n\r'\"?,;`:!*()"
 BLANKS = " \n\r\t"
@@ -38,8 +38,12 @@ def ngrams(words: Column, n: int, joiner: str = "-") -> Column:
     """Each n consecutive tokens, joined; none where there are fewer."""
     if n < 1:
         raise ValueError("n must be positive")
-    joined = words
-    for k in range(1, n):
-        left = F.greatest(F.size(words) - k, F.lit(0))
-        joined = F.zip_with(F.slice(joined, F.lit(1), left), F.slice(words, F.lit(k + 1), left), lambda a, b: F.concat(a, F.lit(joiner), b))
-    return joined
+    if n == 1:
+        return words
+
+    def joined(w: Column) -> Column:
+        grams = F.transform(w, lambda x, i: F.concat(x, *[part for k in range(1, n) for part in (F.lit(joiner), F.get(w, i + k))]))
+        return F.slice(grams, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+
+    # as the element of an array, the tokens are made once and not once for each place that reads them
+    return F.get(F.transform(F.array(words), joined), F.lit(0))

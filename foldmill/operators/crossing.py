@@ -10,9 +10,9 @@ MOST_QUERIES = 20_000
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows dealt evenly by a key, for crossings whose work on a row far outweighs moving it; never fewer partitions than before."""
+    """rows dealt evenly by a key where their files give fewer tasks than there are cores; the work on a row of a crossing far outweighs moving it."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(3 * cores, rows.rdd.getNumPartitions()), key)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(3 * cores, key)
 
 
 def cross_queries(rows: DataFrame, queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:

@@ -235,17 +235,81 @@ def md5_sha1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(hashing.md5_raw(F.col("text")))).alias("m"), F.lower(F.hex(hashing.sha1_raw(F.col("text")))).alias("s"))
 
 
-@query()
+MASK = 0xFFFFFFFF
+#: Each key with its bytes s, their number n, and the number w of whole words of four.
+SQL_KEY_BYTES = f"select key, {sql_bytes('key')} as s, strlen(key) as n, strlen(key) // 4 as w from ({SQL_COUNTS})"
+
+
+def sql_word(at: str) -> str:
+    """Four bytes from a place (from 0), the lowest first; bytes beyond the end count nothing."""
+    return "(" + " | ".join(f"(coalesce(s[{at} + {k + 1}], 0) << {8 * k})" for k in range(4)) + ")"
+
+
+def sql_left(a: str, k: int) -> str:
+    return f"((({a}) << {k}) & {MASK})"
+
+
+def sql_turned(a: str, k: int) -> str:
+    return f"((({a} << {k}) | ({a} >> {32 - k})) & {MASK})"
+
+
+def sql_rounds(inner: str, steps: list[tuple[str, str]], state: str, keep: str) -> str:
+    """Nested selects, each with one column of the state replaced."""
+    for name, expression in steps:
+        inner = f"select {keep}, " + ", ".join(f"({expression}) & {MASK} as {c}" if c == name else c for c in state) + f" from ({inner})"
+    return inner
+
+
+def sql_lookup3() -> str:
+    """Two mixes, for blocks of twelve bytes and for the last: (column, column that is turned and by how much, further column)."""
+    mix = []
+    for k, (x, y, z) in zip((4, 6, 8, 16, 19, 4), ("acb", "bac", "cba") * 2, strict=True):
+        mix += [(x, f"{x} - {y} + {MASK + 1}"), (x, f"xor({x}, {sql_turned(y, k)})"), (y, f"{y} + {z}")]
+    last = []
+    for k, (x, y) in zip((14, 11, 25, 16, 4, 14, 24), ("cb", "ac", "ba", "cb", "ac", "ba", "cb"), strict=True):
+        last += [(x, f"xor({x}, {y})"), (x, f"{x} - {sql_turned(y, k)} + {MASK + 1}")]
+    added = [(c, f"{c} + {sql_word(f'12 * i + {4 * k}')}") for k, c in enumerate("abc")]
+    first = f"select key, s, n, 0::bigint as i, (3735928559 + n) & {MASK} as a, (3735928559 + n) & {MASK} as b, (3735928559 + n) & {MASK} as c from ({SQL_KEY_BYTES})"
+    step = sql_rounds("select * from r where n - 12 * i > 12", [*added, *mix], "abc", "key, s, n, i")
+    end = sql_rounds("select * from r where n - 12 * i <= 12", [*added, *last], "abc", "key, s, n, i")
+    return f"with recursive r as ({first} union all select key, s, n, i + 1 as i, a, b, c from ({step})) select key, c::bigint as h from ({end})"
+
+
+def sql_murmur2(seed: int = 42, m: int = 0x5BD1E995) -> str:
+    words = f"list_transform(range(0, w), lambda i: {sql_word('4 * i')})"
+    mixed = f"list_transform(list_transform(list_transform({words}, lambda k: (k * {m}) & {MASK}), lambda k: xor(k, k >> 24)), lambda k: (k * {m}) & {MASK})"
+    inner = f"select key, s, n, w, list_reduce({mixed}, lambda h, k: xor((h * {m}) & {MASK}, k), xor({seed}, n)::bigint) as h from ({SQL_KEY_BYTES})"
+    inner = f"select key, case when n % 4 > 0 then (xor(h, {sql_word('4 * w')}) * {m}) & {MASK} else h end as h from ({inner})"
+    return "select key, h::bigint as h from (" + sql_rounds(inner, [("h", "xor(h, h >> 13)"), ("h", f"h * {m}"), ("h", "xor(h, h >> 15)")], "h", "key") + ")"
+
+
+def sql_superfast() -> str:
+    words = f"list_transform(range(0, w), lambda i: {sql_word('4 * i')})"
+    low = f"((h + (k & 65535)) & {MASK})"
+    both = f"xor({sql_left(low, 16)}, xor((k >> 16) << 11, {low}))"
+    inner = f"select key, s, n, w, list_reduce({words}, lambda h, k: ({both} + ({both} >> 11)) & {MASK}, n::bigint) as h from ({SQL_KEY_BYTES})"
+    half, signed = "(s[4 * w + 1] | (s[4 * w + 2] << 8))", lambda k: f"((s[4 * w + {k}] + 128) % 256 - 128)"
+    cases = {
+        3: [f"h + {half}", f"xor(h, {sql_left('h', 16)})", f"xor(h, ({signed(3)} * 262144) & {MASK})", "h + (h >> 11)"],
+        2: [f"h + {half}", f"xor(h, {sql_left('h', 11)})", "h + (h >> 17)"],
+        1: [f"h + {signed(1)} + {MASK + 1}", f"xor(h, {sql_left('h', 10)})", "h + (h >> 1)"],
+    }
+    steps = [("h", f"case when n % 4 = {rest} then {x} else h end") for rest, tail in cases.items() for x in tail]
+    steps += [("h", x) for up, down in ((3, 5), (4, 17), (25, 6)) for x in (f"xor(h, {sql_left('h', up)})", f"h + (h >> {down})")]
+    return "select key, h::bigint as h from (" + sql_rounds(inner, steps, "h", "key, s, n, w") + ")"
+
+
+@query(sql_lookup3())
 def bob32(spark, sf_dir):
     return word_counts(spark, sf_dir).select("key", hashing.lookup3(F.col("key")).alias("h"))
 
 
-@query()
+@query(sql_murmur2())
 def murmur2_32(spark, sf_dir):
     return word_counts(spark, sf_dir).select("key", hashing.murmur2(F.col("key")).alias("h"))
 
 
-@query()
+@query(sql_superfast())
 def superfast32(spark, sf_dir):
     return word_counts(spark, sf_dir).select("key", hashing.superfast(F.col("key")).alias("h"))
 
@@ -258,10 +322,11 @@ def sql_steps(name: str, steps: list[str]) -> str:
     return f"select o_orderkey, a as {name} from ({out})"
 
 
+C1, C3 = hashing.AVALANCHE_1, hashing.AVALANCHE_HALF
 SQL_AVALANCHE = {
-    "h1": ["a + 2127912214 + (a << 12)", "xor(xor(a, 3345072700), a >> 19)", "a + 374761393 + (a << 5)", "xor((a + 3550635116) & 4294967295, a << 9)", "a + 4251993797 + (a << 3)", "xor(xor(a, 3042594569), a >> 16)"],
+    "h1": [f"a + {C1[0]} + (a << 12)", f"xor(xor(a, {C1[1]}), a >> 19)", f"a + {C1[2]} + (a << 5)", f"xor((a + {C1[3]}) & {MASK}, a << 9)", f"a + {C1[4]} + (a << 3)", f"xor(xor(a, {C1[5]}), a >> 16)"],
     "h2": ["a - ((a << 6) & 4294967295) + 4294967296", "xor(a, a >> 17)", "a - ((a << 9) & 4294967295) + 4294967296", "xor(a, (a << 4) & 4294967295)", "a - ((a << 3) & 4294967295) + 4294967296", "xor(a, (a << 10) & 4294967295)", "xor(a, a >> 15)"],
-    "h3": ["a + 1201320989 + (a << 8)", "xor(xor(a, 3836350670), a >> 5)", "((a + 2571301030) & 4294967295) - ((a << 14) & 4294967295) + 4294967296", "xor(xor(a, 1525536381), a >> 3)", "a + 398371218 + (a << 7)"],
+    "h3": [f"a + {C3[0]} + (a << 8)", f"xor(xor(a, {C3[1]}), a >> 5)", f"((a + {C3[2]}) & {MASK}) - ((a << 14) & {MASK}) + 4294967296", f"xor(xor(a, {C3[3]}), a >> 3)", f"a + {C3[4]} + (a << 7)"],
 }
 
 
@@ -330,10 +395,23 @@ def zlib_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(back).alias("m"))
 
 
-@query()
+SQL_WAVE = "sqrt(2.0 / 32) * cos(pi() / 32 * {0} * ({1} + 0.5))"
+#: Which value of a vector an image of 32 columns has at a place: no row repeats.
+PIXEL = "(i % 32) * (i // 32 + 3) + (i // 32) * (i // 32)"
+
+
+@query(f"""with p as (select vec_id, i // 32 as y, i % 32 as x, embedding[({PIXEL})::int % len(embedding) + 1]::double as e from embeddings, range({IMAGE_SIDE * IMAGE_SIDE}) as r(i) where len(embedding) > 0),
+    a as (select vec_id, y, v, sum(e * {SQL_WAVE.format("v", "x")}) as e from p, range(1, 9) as r(v) group by all),
+    f as (select vec_id, u, v, sum(e * {SQL_WAVE.format("u", "y")}) as e from a, range(1, 9) as r(u) group by all),
+    m as (select vec_id, median(e) as mid from f group by vec_id),
+    b as (select vec_id, string_agg(case when e > mid then '1' else '0' end, '' order by u, v) as bits from f join m using (vec_id) group by vec_id)
+    select vec_id, bits from b""")
 def perceptual_bits(spark, sf_dir):
-    wide = F.flatten(F.array_repeat("embedding", IMAGE_SIDE * IMAGE_SIDE // 64))
-    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", sequences.perceptual_hash(wide, IMAGE_SIDE).alias("h"))
+    """The hash of an image of each vector's values."""
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
+    place = lambda i: (i % IMAGE_SIDE) * (F.floor(i / IMAGE_SIDE) + 3) + F.floor(i / IMAGE_SIDE) * F.floor(i / IMAGE_SIDE)
+    image = F.transform(F.sequence(F.lit(0), F.lit(IMAGE_SIDE * IMAGE_SIDE - 1)), lambda i: F.get("embedding", (place(i) % F.size("embedding")).cast("int")))
+    return vectors.select("vec_id", F.reverse(F.lpad(F.bin(sequences.perceptual_hash(image, IMAGE_SIDE)), 64, "0")).alias("bits"))
 
 
 @query(f"select array_to_string({sql_tokens('text', tokens.BLANKS)}, '|') as fields, doc_id from documents where len({sql_tokens('text', tokens.BLANKS)}) > 0")
@@ -363,10 +441,7 @@ def union_count(spark, sf_dir):
 
 @query(f"select row_number() over (partition by (({SQL_BYTE_SUM}) % {PARTITIONS} + {PARTITIONS}) % {PARTITIONS} order by key) as place, key, n from ({SQL_COUNTS})")
 def sorted_partitions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    parts = sinks.with_partition(word_counts(spark, sf_dir), PARTITIONS)
-    return parts.select(F.row_number().over(Window.partitionBy("pid").orderBy("key")).cast("long").alias("place"), "key", "n")
+    return sinks.placed(sinks.with_partition(word_counts(spark, sf_dir), PARTITIONS), "pid", "key").select("place", "key", "n")
 
 
 def _created(rows: pd.DataFrame) -> pd.DataFrame:
@@ -405,8 +480,11 @@ def custom_udtf(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from foldmill.plans import stored  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -15,7 +15,12 @@ from foldmill.sources import readers
 
 @dataclass
 class Job:
-    """``source`` is a DataFrame of records, or None to read ``path`` in ``mode``; ``strategy`` is kept for configurations and changes nothing in the result."""
+    """``source`` is a DataFrame of records, or None to read ``path`` in ``mode``.
+
+    ``strategy`` is kept for configurations and changes nothing in the result; neither do
+    ``combine`` (before the shuffle or not) and the numbers of partitions before and behind
+    the shuffle, ``mappers`` and ``reducers`` (0: Spark's own).
+    """
 
     aggregate: str | AggSpec | PythonAgg
     source: DataFrame | None = None
@@ -25,6 +30,9 @@ class Job:
     queries: DataFrame | None = None
     rounds: int = 0
     strategy: str = "bucket"
+    combine: bool = True
+    mappers: int = 0
+    reducers: int = 0
     STRATEGIES = ("bucket", "hashsort", "exthash", "iterative")
 
     def run(self, spark: SparkSession) -> DataFrame:
@@ -33,6 +41,8 @@ class Job:
         if self.source is None and self.path is None:
             raise ValueError("a job needs a source or a path")
         rows = self.source if self.source is not None else readers.read(spark, self.mode, self.path, **self.options)
+        if self.mappers:
+            rows = rows.repartition(self.mappers)
         if self.queries is not None:
             rows = cross_queries(rows, self.queries)
         spec = lookup(self.aggregate) if isinstance(self.aggregate, str) else self.aggregate
@@ -42,9 +52,9 @@ class Job:
         if rounds and spec.create is None:
             partials = rows
         else:
-            partials = spec.merged(spec.created(rows))
+            partials = spec.merged(spec.created(rows), self.combine, self.reducers)
         for _ in range(rounds):
-            partials = spec.merged(spec.divided(partials))
+            partials = spec.merged(spec.divided(partials), self.combine, self.reducers)
         return spec.finished(partials)
 
     def save(self, spark: SparkSession, path: str, kind: str = "parquet") -> dict[str, int]:

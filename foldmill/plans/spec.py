@@ -38,9 +38,17 @@ class AggSpec:
             raise ValueError("the aggregate has no divide")
         return partials.select(F.inline(self.divide()))
 
-    def merged(self, partials: DataFrame) -> DataFrame:
-        """One row for each key; rows without a key are left out."""
-        return partials.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(*[f().alias(n) for n, f in self.merge.items()])
+    def merged(self, partials: DataFrame, combine: bool = True, reducers: int = 0) -> DataFrame:
+        """One row for each key; rows without a key are left out.
+
+        Tasks combine their partial aggregates before the shuffle, unless ``combine`` is
+        false: keys are then dealt out first, to ``reducers`` partitions (0: Spark's number).
+        """
+        known = partials.where(F.col(self.key).isNotNull())
+        if not combine:
+            known = known.repartition(reducers, self.key) if reducers else known.repartition(self.key)
+        out = known.groupBy(self.key).agg(*[f().alias(n) for n, f in self.merge.items()])
+        return out.repartition(reducers, self.key) if combine and reducers else out
 
     def finished(self, merged: DataFrame) -> DataFrame:
         return merged.select(self.key, *[f().alias(n) for n, f in self.finish.items()]) if self.finish else merged

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,18 +51,18 @@ def queries(spark: SparkSession, path: str, kind: str = "word") -> DataFrame:
         return listed
     if kind != "file":
         raise ValueError(f"no query list of kind {kind!r}")
-    names = [r.query for r in listed.limit(MOST_QUERY_FILES + 1).collect()]
-    if len(names) > MOST_QUERY_FILES:
-        raise ValueError(f"a list of query files has {MOST_QUERY_FILES} names at most")
-    read = [files(spark, n).select(F.lit(n).alias("query"), "content") for n in names]
-    out = spark.createDataFrame([], "query string, content binary")
-    for one in read:
-        out = out.unionByName(one)
-    return out
-
-
-#: Query files are listed by the driver, one path each.
-MOST_QUERY_FILES = 1000
+    # the driver lists the files, as Spark does for any source; names meet contents by their path without the scheme
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    plain = lambda c: F.regexp_replace(c, scheme, "")
+    names = sorted({re.sub(scheme, "", r.query): r.query for r in listed.distinct().collect()}.values())
+    out = spark.createDataFrame([], "name string, content binary")
+    for k in range(0, len(names), FILES_AT_A_TIME):
+        out = out.unionByName(files(spark, names[k : k + FILES_AT_A_TIME]))
+    return listed.withColumn("at", plain(F.col("query"))).join(out.select(plain(F.col("name")).alias("at"), "content"), "at").select("query", "content")
+
+
+#: Query files that one scan reads.
+FILES_AT_A_TIME = 10_000
 MODES = {"chunk": lines, "local": fields, "file": files, "filechunk": file_tokens, "records": file_records}
 
 

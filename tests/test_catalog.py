@@ -24,7 +24,7 @@ def plain(v):
     return round(v, 5) if isinstance(v, float) and not math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, small, con, name):
     got = catalog.QUERIES[name](spark, small)
     rows = sorted((str(tuple(plain(v) for v in r)) for r in got.select(*sorted(got.columns)).collect()))

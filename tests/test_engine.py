@@ -10,7 +10,7 @@ from foldmill.plans.config import configured, parse
 from foldmill.plans.job import Job
 from foldmill.plans.spec import AggSpec, lookup, register, registered
 from foldmill.sources import readers
-from foldmill.streaming.counts import aggregate_stream, to_table
+from foldmill.streaming.counts import aggregate_stream, latest, to_table
 
 
 def texts(spark, *values):
@@ -130,7 +130,7 @@ def test_stream(spark, tmp_path):
         if more:
             (source / "b.txt").write_text(more)
         to_table(stream(), str(tmp_path / "out"), str(tmp_path / "state")).start().awaitTermination(60)
-        assert counts(spark.read.parquet(str(tmp_path / "out"))) == want
+        assert counts(latest(spark, str(tmp_path / "out"))) == want
 
 
 def test_configuration(spark, tmp_path):
@@ -143,6 +143,12 @@ def test_configuration(spark, tmp_path):
     assert counts(configured({"input": {"path": str(path), "delimiter_second": " "}}).job.run(spark)) == {"k1": 2, "k2": 1}
     (tmp_path / "c.cfg").write_text(text)
     assert configured(tmp_path / "c.cfg").job.rounds == 0
-    for bad in (lambda: configured({"input": {"speed": 3}}), lambda: parse("nothing")):
+    crossed = configured({"input": {"path": str(path), "query": ["q", "r"]}, "aggregate": {"combine": False}, "reduce": {"tasks": 2}, "map": {"tasks": 3}}, spark)
+    assert counts(crossed.job.run(spark)) == {"k1 x": 4, "k2 y": 2} and not crossed.job.combine
+    (tmp_path / "names.txt").write_text(f"{path}\nfile:{path}\n")
+    listed = configured({"input": {"path": str(path), "query_file": str(tmp_path / "names.txt"), "query_kind": "file"}}, spark)
+    assert {bytes(r.content) for r in listed.job.queries.collect()} == {path.read_bytes()}
+    assert counts(listed.job.run(spark)) == {"k1 x": 4, "k2 y": 2}
+    for bad in (lambda: configured({"input": {"speed": 3}}), lambda: parse("nothing"), lambda: configured({"input": {"path": str(path), "query": "x"}}), lambda: configured({"aggregate": {"combine": "maybe"}})):
         with pytest.raises(ValueError):
             bad()
