@@ -24,8 +24,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text; a null text has none."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, draw): words of each text, a null text has none; and what the draw is made from, the id or else the text."""
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5("text")), F.lit("null")).alias("draw")
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw)
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -68,15 +69,16 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, weights: tuple
 
     taken counts words with their repeats: epochs times the size, and the words
     taken from the fractional epoch. The taken words of a source come within one
-    word of its target. A null id draws as the text 'null'; a null source is a
-    source; repeated rows draw alike and stand one behind the other; no rows, no result.
+    word of its target. A null id draws by its text; a null source is a source;
+    repeated rows draw alike and stand one behind the other; a very long text is one
+    size like any other; other columns are not read, whatever their names; no rows, no result.
     """
     sized = quality(written(sizes(docs)), labels)
     goal = targets(sized.select("source", "size"), weights, share, most)
     goal = goal.withColumn("whole", F.round("target").cast("long"))
     goal = goal.withColumn("epochs", F.expr("if(source_size = 0, 0L, whole div source_size)"))
     goal = goal.withColumn("rest", F.col("whole") - F.col("epochs") * F.col("source_size"))
-    drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double")
+    drawn = F.conv(F.substring(F.md5("draw"), 1, 13), 16, 10).cast("double")
     keyed = sized.withColumn("key", F.pow((drawn + 0.5) / float(1 << 52), 1.0 / F.col("weight")))
     part = F.least(F.floor((1.0 - F.col("key")) * 65536), F.lit(65535)).cast("int")
     keyed = keyed.withColumn("part", part).withColumn("slice", F.expr("part div 256"))

@@ -330,7 +330,8 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
     """(doc_id, start, length, value, score, is_secret) for each candidate of each text; start and length count UTF-8 bytes.
 
     Null and empty texts have none. A null doc_id stays null, repeated rows have
-    repeated findings, and an empty table has none.
+    repeated findings, and an empty table has none. A very long text is read whole,
+    alone in its batch; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     batches(spark)

@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     component_id is the least doc_id that is reached, the document's own included.
     Null and empty texts have fingerprint zero and link like any other. A null
     doc_id stays in the result and counts as no component's least id unless all
-    of them are null. Repeated rows stay repeated. An empty table gives an empty one.
+    of them are null. Repeated rows stay repeated. A very long
+    text is hashed whole, alone in its batch; other columns are not read. An empty table gives an empty one.
     """
     with scratch(docs.sparkSession):
         prints = written(with_fingerprints(docs, shingle), keep=True)

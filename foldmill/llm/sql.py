@@ -2,7 +2,8 @@
 
 OP7 = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    coalesce(doc_id::varchar, 'null' || md5(text), 'null') as draw from documents
 ), sources as (
   select source, sum(size)::bigint as source_size from sized group by source
 ), placed as (
@@ -21,7 +22,7 @@ with sized as (
 ), whole as (
   select *, round(target)::bigint as words, case when source_size = 0 then 0 else round(target)::bigint // source_size end as epochs from goals
 ), keyed as (
-  select s.*, pow((('0x' || substr(md5(coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double,
+  select s.*, pow((('0x' || substr(md5(s.draw), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double,
     1.0::double / case when q.least >= 1 then 1.0 when q.least < 1 then 0.5 else 0.75 end) as key
   from sized s left join (select doc_id, min(quality) as least from labels group by doc_id) q on s.doc_id = q.doc_id
 ), front as (

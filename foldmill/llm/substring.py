@@ -211,7 +211,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     doc_id, judged on the input. Null and empty texts have no words; texts shorter
     than a window stay whole. A row with a null doc_id is no document's
     predecessor and stays whole. Rows with one doc_id don't remove each
-    other. An empty table gives an empty one.
+    other. A very long text is a block of its own and is taken whole; other columns
+    are not read, whatever their names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     blocks = blocks_of(docs)
