@@ -1,15 +1,15 @@
 """Toxicity by compression distance: windows of a text are compressed with a dictionary of ordinary and one of toxic text.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary rows. Its
-trainer fills a dictionary with what is frequent, which in toxic rows is ordinary
-language again; so the toxic one is trained by the same greedy cover over toxic
-rows, but of word beginnings that are frequent against ordinary rows. (With
-``trained`` it is zstandard's trainer again that makes the dictionary, of the toxic
-rows' words with such beginnings; that finds less, see the README.) A window is
-compressed once with the ordinary dictionary and once with both; the bytes saved
-are its distance. Thresholds for windows are quantiles of ordinary windows'
-savings. A text's score is a logistic function of what its windows save, fitted
-on rows that the dictionaries behind their savings haven't seen.
+Both are trained by zstandard: the ordinary one on windows of ordinary rows, the
+toxic one on what tells toxic rows. The trainer fills a dictionary with what is
+frequent, which in whole toxic rows is ordinary language again; so it gets the
+beginnings of words that are frequent in toxic rows against ordinary ones, chosen
+by a greedy cover of the toxic rows, each equally often. A window is compressed
+with the ordinary dictionary, and with the toxic one in front of it, so that both
+hold the same ordinary language; the bytes saved are its distance. Thresholds for
+windows are quantiles of ordinary windows' savings. A text's score is a logistic
+function of what its windows save, fitted on rows that the dictionaries behind
+their savings haven't seen.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from foldmill.llm.learning import class_weights, labelled, logistic, sigmoid
 WINDOW = 64
 #: Labelled rows of either class that the model is fitted on, at most twice as many.
 TRAIN_ROWS = 1000
-#: Bytes of the ordinary dictionary and of one trained on toxic words; bytes that the trainer gets (of more, every so manieth window).
-ORDINARY_BYTES, TOXIC_BYTES, SAMPLE_BYTES = 16384, 2048, 4_000_000
+#: Most bytes of the ordinary and of the toxic dictionary; bytes that the trainer gets of ordinary windows (of more, every so manieth window).
+ORDINARY_BYTES, TOXIC_BYTES, SAMPLE_BYTES = 16384, 8192, 4_000_000
+#: Length of the segments and of their parts that the trainer counts, for either dictionary; samples of each word beginning.
+ORDINARY_PARTS, TOXIC_PARTS, SAMPLES = (64, 6), (20, 6), 8
 #: Bytes of a word's beginning; standard deviations above ordinary rows; what a toxic row counts after each cover; the least share of rows that a new one covers.
 STEM = range(4, 14)
 CONTRAST, DECAY, LEAST = 3.5, 0.7, 0.01
@@ -70,10 +72,10 @@ class Dictionaries:
         return made
 
 
-def trained(samples: list[bytes], size: int, k: int = 64, d: int = 6) -> bytes:
-    """The content of a zstandard dictionary; the samples themselves where they are too few to train one."""
+def trained(samples: list[bytes], size: int, parts: tuple[int, int]) -> bytes:
+    """A zstandard dictionary; the samples themselves where they are too few to train one."""
     try:
-        made = zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL, **({"steps": 4} if k == 64 else {})).as_bytes()
+        made = zstandard.train_dictionary(size, samples, k=parts[0], d=parts[1], level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
         made = b"\n".join(samples)[-size:]
     return made or b"\n"
@@ -90,8 +92,8 @@ def stems(found: list[bytes]) -> set[bytes]:
     return {y[:n] for y in {y.strip(MARKS) for x in found for y in x.split()} for n in STEM if n <= len(y)}
 
 
-def toxic_dictionary(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
-    """Word beginnings that cover the toxic rows, the best ones last, where they are cheapest to refer to.
+def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Word beginnings that cover the toxic rows, the best ones first.
 
     A beginning gains the toxic rows that have it, each counting less the more often
     it is covered already, less those expected from ordinary rows.
@@ -121,28 +123,20 @@ def toxic_dictionary(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> b
         else:
             out.append(y)
             worth[at[y]] *= DECAY
-    return b"".join(b" " + y for y in reversed(out)) + b" "
+    return out
 
 
-def toxic_words(toxic: list[list[bytes]], found: set[bytes]) -> list[bytes]:
-    """The beginnings in ``found`` of the toxic rows' words, as often as they are there."""
-    out = []
-    for y in (y.strip(MARKS) for row in toxic for x in row for y in x.split()):
-        hit = [y[:n] for n in STEM if n <= len(y) and y[:n] in found]
-        if hit:
-            out.append(b" " + max(hit, key=len) + b" ")
-    return out
+def toxic_samples(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Samples for the trainer, which leaves out those under eight bytes: each telling beginning twice in a row, or until it is long enough."""
+    return SAMPLES * [(b" " + y) * max(2, -(-11 // (len(y) + 1))) + b" " for y in telling(toxic, ordinary)]
 
 
-def dictionaries(rows: list[tuple[int, list[bytes]]], by_trainer: bool = False) -> Dictionaries:
-    """Of (label, windows) rows; ``by_trainer``: the toxic one too is made by zstandard's trainer."""
+def dictionaries(rows: list[tuple[int, list[bytes]]]) -> Dictionaries:
+    """Of (label, windows) rows."""
     ordinary, toxic = [x for label, x in rows if not label], [x for label, x in rows if label]
-    samples = [x for row in ordinary for x in row]
-    first = trained(samples[:: max(1, -(-sum(map(len, samples)) // SAMPLE_BYTES))], ORDINARY_BYTES)
-    second = toxic_dictionary(toxic, ordinary)
-    if by_trainer:
-        second = trained(toxic_words(toxic, set(second.split())), TOXIC_BYTES, 16, 8)
-    return Dictionaries(first, second + first)
+    windows_ = [x for row in ordinary for x in row]
+    first = trained(windows_[:: max(1, -(-sum(map(len, windows_)) // SAMPLE_BYTES))], ORDINARY_BYTES, ORDINARY_PARTS)
+    return Dictionaries(first, trained(toxic_samples(toxic, ordinary), TOXIC_BYTES, TOXIC_PARTS) + first)
 
 
 def summaries(saved: np.ndarray, row: np.ndarray, n: int, levels: tuple[float, ...]) -> np.ndarray:
@@ -173,7 +167,7 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1]), found
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, by_trainer: bool = False) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """The model of a bounded labelled sample (rows and bytes, see learning); None if it lacks one of the classes.
 
     A hash of the id deals the rows into folds; each fold's savings come from
@@ -196,12 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, by_tra
     if len({r.label for r in got}) < 2:
         return None
     rows = [(r.fold, r.label, [x for x in bytes(r.found).split(b"\n") if x]) for r in got]
-    final = dictionaries([r[1:] for r in rows], by_trainer)
+    final = dictionaries([r[1:] for r in rows])
     y = np.array([float(r[1]) for r in rows])
     saved: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
     for k in range(FOLDS):
         others = [r[1:] for r in rows if r[0] != k]
-        a, b = (x.compress for x in (dictionaries(others, by_trainer) if len({r[0] for r in others}) == 2 else final).compressors())
+        a, b = (x.compress for x in (dictionaries(others) if len({r[0] for r in others}) == 2 else final).compressors())
         for i, r in enumerate(rows):
             if r[0] == k:
                 saved[i] = np.array([len(a(x)) - len(b(x)) for x in r[2]], np.int64)

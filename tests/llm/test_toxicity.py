@@ -26,27 +26,36 @@ def test_held_out_accuracy(spark, small):
 def test_scores_against_brute_force(spark, small):
     """Windows and summaries one by one, from the model's dictionaries, thresholds and weights."""
     df, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
-    for by_trainer in (False, True):
-        model = toxicity.fit(df, labels, by_trainer=by_trainer)
-        made = model.dictionaries.compressors()
-
-        def score(text):
-            raw = (text or "").encode()
-            raw = bytes(c | 32 if 65 <= c <= 90 else c for c in raw)
-            cut = {}
-            for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
-                cut.setdefault(m.start() // toxicity.WINDOW, []).append(m.span())
-            saved = sorted((len(made[0].compress(w)) - len(made[1].compress(w)) for w in (raw[s[0][0] : s[-1][1]] for s in cut.values())), reverse=True)
-            n = max(1, len(saved))
-            above = [sum(s >= x for s in saved) for x in model.levels]
-            x = [max(saved, default=0), sum(saved[:4]) / min(4, n), sum(saved) / n, above[0] / n, above[1] / n, math.log1p(above[1]), math.log1p(above[2])]
-            z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.weights[-1]
-            return 1 / (1 + math.exp(-max(-40, min(40, z))))
-
-        few = spark.createDataFrame(df.limit(60).collect() + [(1000, None, None, None, 0)], df.schema)
-        text = {r.doc_id: r.text for r in few.collect()}
-        for r in toxicity.score(few, model).collect():
-            assert r.score == pytest.approx(score(text[r.doc_id]), abs=1e-9)
+    model = toxicity.fit(df, labels)
+    made = model.dictionaries.compressors()
+
+    def score(text):
+        raw = (text or "").encode()
+        raw = bytes(c | 32 if 65 <= c <= 90 else c for c in raw)
+        cut = {}
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+            cut.setdefault(m.start() // toxicity.WINDOW, []).append(m.span())
+        saved = sorted((len(made[0].compress(w)) - len(made[1].compress(w)) for w in (raw[s[0][0] : s[-1][1]] for s in cut.values())), reverse=True)
+        n = max(1, len(saved))
+        above = [sum(s >= x for s in saved) for x in model.levels]
+        x = [max(saved, default=0), sum(saved[:4]) / min(4, n), sum(saved) / n, above[0] / n, above[1] / n, math.log1p(above[1]), math.log1p(above[2])]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.weights[-1]
+        return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+    few = spark.createDataFrame(df.limit(60).collect() + [(1000, None, None, None, 0)], df.schema)
+    text = {r.doc_id: r.text for r in few.collect()}
+    for r in toxicity.score(few, model).collect():
+        assert r.score == pytest.approx(score(text[r.doc_id]), abs=1e-9)
+
+
+def test_dictionaries_are_trained():
+    """By zstandard, from either class: a trained dictionary begins with its magic number."""
+    ordinary = [[b"the quick brown fox number %d jumps over the lazy dog %d" % (k, k % 7)] for k in range(400)]
+    toxic = [[b"you are a dreadful %s and so on %d" % (w, k)] for k in range(60) for w in (b"nincompoop", b"scoundrel", b"blockhead", b"simpleton", b"numbskull", b"dunderhead", b"rapscallion")]
+    made = toxicity.dictionaries([(0, x) for x in ordinary] + [(1, x) for x in toxic])
+    magic = bytes.fromhex("37a430ec")
+    assert made.ordinary.startswith(magic) and made.both.startswith(magic) and made.both.endswith(made.ordinary)
+    assert b"nincompoop" in made.both and b"nincompoop" not in made.ordinary
 
 
 def test_a_hot_id_is_one_row_of_the_sample(spark):
