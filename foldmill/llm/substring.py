@@ -173,21 +173,38 @@ def passages_answered(size: int):
     return run
 
 
+def uncovered(size: int, ids: np.ndarray, w: Words, bodies: list[bytes]) -> np.ndarray:
+    """Which words of a block no window covers that also starts in an earlier document."""
+    x = Windows(w, size)
+    got = [unpack_arrays(b, U64, np.int64) for b in bodies]
+    covered = np.zeros(len(w.start) + 1, np.int64)
+    if got and len(x.at):
+        h, least = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        order = np.argsort(h, kind="stable")
+        h, least = h[order], least[order]
+        at = np.minimum(np.searchsorted(h, x.hash), len(h) - 1)
+        doc = ids[w.row[x.at]]
+        gone = x.at[(h[at] == x.hash) & (least[at] < doc) & ~w.no_id[w.row[x.at]]]
+        np.add.at(covered, gone, 1)
+        np.add.at(covered, gone + size, -1)
+    return np.cumsum(covered)[:-1] == 0
+
+
+def intervals(size: int):
+    def run(block: int, ids: np.ndarray, w: Words, bodies: list[bytes]) -> pa.Table:
+        gone = ~uncovered(size, ids, w, bodies)
+        new, last = gone.copy(), gone.copy()
+        new[1:] &= ~gone[:-1] | (w.row[1:] != w.row[:-1])
+        last[:-1] &= ~gone[1:] | (w.row[1:] != w.row[:-1])
+        first, end = np.flatnonzero(new), np.flatnonzero(last) + 1
+        return pa.Table.from_arrays([pa.array(ids[w.row[first]]), pa.array(first - w.first[w.row[first]]), pa.array(end - first)], names=["doc_id", "start", "length"])
+
+    return run
+
+
 def removed(size: int):
     def run(block: int, ids: np.ndarray, w: Words, bodies: list[bytes]) -> pa.Table:
-        x = Windows(w, size)
-        got = [unpack_arrays(b, U64, np.int64) for b in bodies]
-        covered = np.zeros(len(w.start) + 1, np.int64)
-        if got and len(x.at):
-            h, least = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-            order = np.argsort(h, kind="stable")
-            h, least = h[order], least[order]
-            at = np.minimum(np.searchsorted(h, x.hash), len(h) - 1)
-            doc = ids[w.row[x.at]]
-            gone = x.at[(h[at] == x.hash) & (least[at] < doc) & ~w.no_id[w.row[x.at]]]
-            np.add.at(covered, gone, 1)
-            np.add.at(covered, gone + size, -1)
-        keep = np.cumsum(covered)[:-1] == 0
+        keep = uncovered(size, ids, w, bodies)
         text, start, end = w.joined()
         kept = []
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
@@ -214,6 +231,22 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     other. A very long text is a block of its own and is taken whole; other columns
     are not read, whatever their names. An empty table gives an empty one.
     """
+    blocks, found = matches(docs, size)
+    return told(blocks, found, removed(size), OUT_DDL)
+
+
+def repeated_intervals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, start, length): each longest run of words, counted from 0, that ``remove_repeats`` takes out of a document.
+
+    The matching statistic of a word is the length of the longest run that starts with it
+    and also occurs in an earlier document; these are the intervals where it reaches ``size``, with the words that it reaches over.
+    """
+    blocks, found = matches(docs, size)
+    return told(blocks, found, intervals(size), "doc_id long, start long, length long")
+
+
+def matches(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks of docs, and for each block its windows that start in an earlier document, with the least of these."""
     spark = docs.sparkSession
     blocks = blocks_of(docs)
     shards = shards_for(blocks)
@@ -221,5 +254,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     with scratch(spark):
         again = written(answer(ask(blocks, anchors_told(size, shards)), anchors_answered, parts))
         sent = told(blocks, again, passages_told(size, shards), "key long, block long, body binary")
-        found = written(answer(sent, passages_answered(size), parts), keep=True)
-    return told(blocks, found, removed(size), OUT_DDL)
+        return blocks, written(answer(sent, passages_answered(size), parts), keep=True)

@@ -74,3 +74,14 @@ def test_overlapping_copies_and_hot_passages(spark, monkeypatch):
 def test_awkward_rows(spark):
     same(docs(spark))
     assert substring.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_intervals(spark):
+    rng = random.Random(3)
+    v = [f"w{k}" for k in range(500)]
+    base = [rng.choice(v) for _ in range(60)]
+    texts = [" ".join(base), " ".join([rng.choice(v) for _ in range(9)] + base[5:45] + ["x"] + base[44:] + ["y"]), " ".join(base[:12])]
+    df = spark.createDataFrame([((1 << 63) - 1 if k else 7, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    got = sorted(tuple(r) for r in substring.repeated_intervals(df).collect())
+    assert got == [((1 << 63) - 1, 9, 40), ((1 << 63) - 1, 50, 16)]
+    assert {r.doc_id for r in substring.remove_repeats(df).collect()} == {7, (1 << 63) - 1}
