@@ -28,22 +28,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are tokenised at a time (a longer document is handled alone), and that one prefix sum covers.
 CHUNK_BYTES, HASH_BYTES = 1 << 21, 1 << 18
-#: Rows and bytes of an Arrow batch: long documents then still fit in a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 500, 1 << 22
+#: Rows and bytes of an Arrow batch, rows that the Parquet reader and bytes that its writer hold: long documents then still fit in memory.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS, WRITE_BYTES = 500, 1 << 22, 512, 1 << 24
 #: Spark then deletes a query's shuffle files as soon as its result is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _powers: list[np.ndarray] = []
 _libc: list[Callable] = []
 _calls = [0]
-TIDY = 12
+TIDY = 4
 _scratch: list[list[str]] = []
 
 
 def batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session's Python operators."""
+    """Bound the Arrow batches of this session's Python operators, and the batches that they are made from."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,7 +74,7 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", WRITE_BYTES).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     if len(_scratch) > keep:
