@@ -27,7 +27,7 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are tokenised at a time (a longer document is handled alone), and that one prefix sum covers.
-CHUNK_BYTES, HASH_BYTES = 1 << 21, 1 << 18
+CHUNK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 #: Rows and bytes of an Arrow batch, rows that the Parquet reader and bytes that its writer hold: long documents then still fit in memory.
 BATCH_ROWS, BATCH_BYTES, READ_ROWS, WRITE_BYTES = 500, 1 << 22, 512, 1 << 24
 #: Spark then deletes a query's shuffle files as soon as its result is written.
@@ -36,7 +36,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _powers: list[np.ndarray] = []
 _libc: list[Callable] = []
 _calls = [0]
-TIDY = 4
+TIDY = 2
 _scratch: list[list[str]] = []
 
 
@@ -74,7 +74,7 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("parquet.block.size", WRITE_BYTES).parquet(path)
+        df.write.option("parquet.block.size", WRITE_BYTES).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     if len(_scratch) > keep:

@@ -153,9 +153,10 @@ def set_links(rows: DataFrame, shingle: int, known: DataFrame) -> DataFrame:
         """One text of each of the sets."""
         return rows.join(first.join(sigs, "sig", "left_semi").select("row"), "row", "left_semi").select("text")
 
-    entries = written(rows.select("text").mapInArrow(enter, "key long, sig long"))
-    ends = entries.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("greatest")).where("least <> greatest")
-    shared = written(entries.join(ends.select("key", "least"), "key").distinct())
+    with scratch(spark):
+        entries = written(rows.select("text").mapInArrow(enter, "key long, sig long"))
+        ends = entries.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("greatest")).where("least <> greatest")
+        shared = written(entries.join(written(ends.select("key", "least")), "key").distinct(), keep=True)
     marks = written(texts(shared.select("sig").distinct()).mapInArrow(mark, "sig long, size long, " + ", ".join(f"{p} long" for p in PARITIES)))
 
     def marked(suffix: str) -> DataFrame:
