@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foldmill.llm.common import written
 
 #: Bytes of text of a labelled sample.
-TRAIN_BYTES = 32 << 20
+TRAIN_BYTES = 16 << 20
 
 
 def crc_fold(column: str | Column, folds: int) -> Column:
