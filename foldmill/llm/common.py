@@ -17,6 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +38,7 @@ _powers: list[np.ndarray] = []
 _libc: list[Callable] = []
 _calls = [0]
 TIDY = 2
-_scratch: list[list[str]] = []
+_scratch: list[list] = []
 
 
 def batches(spark: SparkSession) -> None:
@@ -86,14 +87,17 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at its end, unless they are kept for what is around it."""
+    """Tables written inside are deleted at its end, unless they are kept for what is around it; values sent inside go too."""
     _scratch.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            files, at = _file(spark, path)
-            files.delete(at, True)
+        for used in _scratch.pop():
+            if isinstance(used, str):
+                files, at = _file(spark, used)
+                files.delete(at, True)
+            else:
+                used.destroy()
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
@@ -125,13 +129,15 @@ class Sent:
     """A value sent to all tasks, by value with its classes, so that executors need no copy of this package."""
 
     def __init__(self, spark: SparkSession, value: object):
-        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held = spark.sparkContext.broadcast(zstandard.ZstdCompressor(1).compress(cloudpickle.dumps(value)))
         self.made: list[object] = []
+        if _scratch:
+            _scratch[-1].append(self.held)
 
     @property
     def value(self):
         if not self.made:
-            self.made.append(pickle.loads(self.held.value))
+            self.made.append(pickle.loads(zstandard.ZstdDecompressor().decompress(self.held.value)))
         return self.made[0]
 
 
