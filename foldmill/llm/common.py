@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import pickle
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -131,8 +132,10 @@ class Sent:
     def __init__(self, spark: SparkSession, value: object):
         self.held = spark.sparkContext.broadcast(zstandard.ZstdCompressor(1).compress(cloudpickle.dumps(value)))
         self.made: list[object] = []
-        if _scratch:
-            _scratch[-1].append(self.held)
+        # by the module's name, so that the list isn't pickled with this class
+        frames = sys.modules["foldmill.llm.common"]._scratch
+        if frames:
+            frames[-1].append(self.held)
 
     @property
     def value(self):
