@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from foldmill.llm import chat, decontam, langid, lines, mixing, quality, secret_scan, simhash, substring, toxicity
+from foldmill.llm import chat, common, decontam, langid, lines, mixing, quality, secret_scan, simhash, substring, toxicity
 from tests.llm.helpers import SCHEMA
 
 CLASH = ["1 as row", "2 as n", "'x' as label", "3 as turn", "'k' as key", "4 as block", "5 as size", "'s' as sig", "6 as seeds", "7 as fold", "8 as weight", "'w' as words", "10 as item"]
@@ -66,3 +68,13 @@ def test_chat(long):
     turns = df.select(F.lit(1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text", F.lit(1).alias("at"), F.lit("c").alias("c"), F.lit(2).alias("slice_"))
     got = {r.turn: r.message for r in chat.format_turns(turns).collect()}
     assert len(got[2]) > len(text)
+
+
+def test_what_the_driver_has_made_is_not_sent(spark):
+    """Functions of over a megabyte are broadcast by Spark, once for each use, into files that stay until the session ends."""
+    common.powers(1)
+    with common.scratch(spark):
+        held = common.Sent(spark, np.random.default_rng(1).bytes(1 << 21))
+        assert len(held.value) == 1 << 21
+        assert len(cloudpickle.dumps(lambda: common.span_hashes(held.value))) < 1 << 18
+    assert len(common.powers(1)[0]) > 1 << 18
