@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldmill.llm import near_sets, simhash
@@ -82,3 +83,44 @@ def test_awkward_rows(spark):
     assert once.dtypes == df.dtypes
     assert sorted(map(str, (r.doc_id for r in once.collect()))) == sorted(map(str, [1, 4, 5, None, 7, 8]))
     assert simhash.one_of_each(spark.createDataFrame([], SCHEMA), 5, similar=True).count() == 0
+
+
+def test_sketches_differ_in_no_more_shingles_than_the_sets(spark):
+    rng = random.Random(7)
+    texts, pairs = [], []
+    for n in (60, 66, 120, 130, 255, 259, 500, 520, 1030):
+        a = [f"a{rng.random()}" for _ in range(n)]
+        for b in (a, a[: 1 + n * 4 // 5], varied(rng, a, 1), varied(rng, a, n // 20), [f"b{rng.random()}" for _ in range(n * 5 // 4)]):
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(a), " ".join(b)]
+    sketches = near_sets.Shingles(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), 5).sketches().to_pylist()
+    rows = [(i, j, sketches[i], sketches[j]) for i, j in pairs] + [(j, i, sketches[j], sketches[i]) for i, j in pairs]
+    df = spark.createDataFrame(rows, "i long, j long, a array<long>, b array<long>")
+    for r in df.withColumn("n", near_sets.differing(F.col("a"), F.col("b"))).collect():
+        a, b = shingles(texts[r.i]), shingles(texts[r.j])
+        assert r.n <= len(a ^ b) and (r.n == 0) == (a == b)
+        assert len(a & b) or r.n > len(a) + len(b) - 2 * -(-8 * (len(a) + len(b)) // 18)
+
+
+def test_texts_and_sets_are_not_shuffled(spark):
+    """Long texts of about one length, of which each two share one rare passage."""
+    rng = random.Random(5)
+    texts = [[f"{rng.randrange(1 << 30)}" for _ in range(1200)] for _ in range(300)]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        a[600:700] = b[600:700]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, varied(rng, texts[0], 5)])]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    sc, key = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(sc.statusStore().executorList(True).apply(k).totalShuffleWrite() for k in range(sc.statusStore().executorList(True).size()))
+
+    before, held = shuffled(), spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = {r.doc_id for r in simhash.one_of_each(df, 5, similar=True).select("doc_id").collect()}
+    finally:
+        spark.conf.set(key, held)
+    assert got == survivors(rows)
+    assert shuffled() - before < 1.5 * sum(len(t) for _, t in rows)
